@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiquarry.session import ship
 
 #: Most rows of a table that is sent to every executor by a broadcast join (checked, never assumed).
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 WHITE = r"[\x20\x09-\x0D]+"
 

@@ -29,6 +29,8 @@ class Memo(dict):
         self.fn, self.limit = fn, limit
 
     def __missing__(self, key):
+        if len(key) > 64:  # long words are not worth the memory
+            return self.fn(key)
         if len(self) >= self.limit:
             self.clear()
         value = self[key] = self.fn(key)

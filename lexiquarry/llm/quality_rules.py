@@ -139,9 +139,13 @@ def order_rules(texts: list[bytes], rules: tuple[Rule, ...]) -> list[tuple[Rule,
     return sorted(out, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
 
 
-def plan(docs: DataFrame, rules: tuple[Rule, ...], text: str = "text", sample_docs: int = SAMPLE_DOCS) -> tuple[Rule, ...]:
-    """Order ``rules`` on at most ``sample_docs`` documents from the first partitions read."""
-    texts = [(r.t or "").encode() for r in docs.select(F.col(text).cast("string").alias("t")).limit(sample_docs).toLocalIterator()]
+def sample(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[bytes]:
+    """At most ``sample_docs`` texts from the first partitions read; nothing is shuffled."""
+    return [(r.t or "").encode() for r in docs.select(F.col(text).cast("string").alias("t")).take(sample_docs)]
+
+
+def plan(texts: list[bytes], rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """``rules`` in the order that :func:`order_rules` finds on the sample."""
     return tuple(r for r, _, _ in order_rules(texts, rules))
 
 
@@ -195,7 +199,8 @@ REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return judge(docs, plan(docs, RULES), REPORTED, plan(docs, BASE)).drop("failed_rule")
+    texts = sample(docs)
+    return judge(docs, plan(texts, RULES), REPORTED, plan(texts, BASE)).drop("failed_rule")
 
 
 SQL = r"""
