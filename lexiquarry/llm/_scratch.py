@@ -6,6 +6,7 @@ folder the cluster names in ``spark.checkpoint.dir`` so that a lost executor cos
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,7 +48,20 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(root)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` wrote and that nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if tables:  # shuffle files go when the JVM sees that no plan refers to them
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def width(spark: SparkSession) -> int:
@@ -117,3 +131,19 @@ def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
     """``df.mapInArrow`` with this package's code available on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
+
+
+def join_back(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 2000) -> DataFrame:
+    """Inner join of ``rows`` with one-row-per-key ``table`` whose ``count`` says how many rows a key has.
+
+    Keys with more than ``total / parts`` rows number fewer than ``parts`` and are broadcast, so
+    that no task receives all rows of a hot key; the others are joined by shuffle.
+    """
+    small = table.withColumnRenamed(key, "_key")
+    hot = F.broadcast(small.where(F.col(count) * parts > total).select(F.struct(*small.columns).alias("_hot")))
+    marked = rows.join(hot, F.col(key) == F.col("_hot._key"), "left")
+    shape = [c for c in small.columns if c != "_key"]
+    a = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in shape])
+    cold = small.where(F.col(count) * parts <= total)
+    b = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, F.col(key) == F.col("_key")).select(*rows.columns, *shape)
+    return a.unionByName(b)
