@@ -34,20 +34,21 @@ WEIGHTS, BUDGET, CAP, SLOPES = (3, 1, 2), 1.5, 2, (0.5, -0.5, 0.0)
 
 
 def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """(uid, doc_id, source, size): words of every whole text."""
+    """(uid, doc_id, source, th, size): words and a fingerprint of every whole text."""
 
     def run(batches):
         for b in batches:
-            n = pa.array([len(t.split()) for t in raw(b.column(3))], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), n], names=["uid", "doc_id", "source", "size"])
+            n = pa.array([len(t.split()) for t in raw(b.column(4))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], n], names=["uid", "doc_id", "source", "th", "size"])
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("uid"),
         F.col(doc_id).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
+        F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("th"),
         F.col(text).cast("string").alias("text"),
     )
-    return arrow_map(rows, run, "uid long, doc_id long, source string, size long")
+    return arrow_map(rows, run, "uid long, doc_id long, source string, th long, size long")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, slopes=SLOPES) -> DataFrame:
@@ -84,7 +85,7 @@ def position(at, target, slope):
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: uid, doc_id, source, size, source_size, target, slope, before, taken."""
+    """One row per document: uid, doc_id, source, th, size, source_size, target, slope, before, taken."""
     sized = materialize(sizes(docs, text, source, doc_id), "mix-sizes")
     n = sized.count()
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiquarry.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, toxicity
+from lexiquarry.llm import exact_dedup, language_id, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, sharding, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_sharding": sharding.op9_sharding,
     "op10_ngram_jaccard": near_dedup.op10_ngram_jaccard,
 }
 
