@@ -21,6 +21,8 @@ def session(app: str = "lexiquarry", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # joins on (corpus, sentence_id, node) may use data that is dealt by (corpus, sentence_id)
+        "spark.sql.requireAllClusterKeysForCoPartition": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
     for k, v in (defaults | {k.replace("__", "."): v for k, v in conf.items()}).items():
@@ -40,3 +42,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{home.name}/{f.relative_to(home)}")
     spark.sparkContext.addPyFile(os.path.realpath(path))
     _SHIPPED[app] = path
+
+
+def spread(df):
+    """``df`` dealt over all cores if it has fewer partitions than that (small files); else as it is."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
