@@ -22,16 +22,18 @@ Defined results
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm._scratch import arrow_map, materialize
-from lexiquarry.llm._words import Memo, raw
+from lexiquarry.llm._words import raw
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -43,16 +45,98 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def word_encoder(path: str) -> Memo:
-    """word (UTF-8) -> little-endian uint32 ids, as bytes."""
-    from tokenizers import Tokenizer
+#: The tokenizer's own division of a lower-cased word, for words of ASCII and Latin-1 characters
+#: (for these, lower-casing and composition leave nothing to interpretation).
+_SIMPLE = re.compile("[\x21-\x7e\xc0-\xff]+")
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_ENCODERS: dict[str, "WordEncoder"] = {}
+#: Words, and pieces of words, that a worker process remembers; bytes of text looked up at a time.
+WORDS, PARTS, CHUNK = 1_000_000, 800_000, 2_000_000
 
-    tok = Tokenizer.from_file(path)
 
-    def encode(word: bytes) -> bytes:
-        return np.array(tok.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+class WordEncoder:
+    """Word (UTF-8) -> little-endian uint32 ids, as bytes.
 
-    return Memo(encode)
+    Simple words are put together from their pieces, which recur far more often than words do. New
+    pieces are encoded many at a time, joined by spaces: a piece's last token, and no other, is an
+    end-of-word token, so the ids divide themselves. Any other word, and any that could hold a special
+    token, is encoded whole.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        vocab = self.tok.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def one(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 2000):
+            group = parts[at : at + 2000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(group):  # no vocabulary known does this; be exact all the same
+                self.parts.update((p, self.one(p)) for p in group)
+                continue
+            whole, start = ids.tobytes(), 0
+            for p, end in zip(group, (ends * 4).tolist()):
+                self.parts[p] = whole[start:end]
+                start = end
+
+    def encode(self, texts: list[list[bytes]]) -> list[bytes]:
+        """Ids of texts given as their words."""
+        wanted = set().union(*texts)
+        new = [w for w in wanted if w not in self.words]
+        if len(self.words) + len(new) > WORDS:
+            self.words.clear()
+            new = list(wanted)
+        plan = []
+        for w in new:
+            text = w.decode()
+            if "<|" in text or not _SIMPLE.fullmatch(text):
+                self.words[w] = self.one(text)
+            else:
+                plan.append((w, _PIECE.findall(text.lower())))
+        parts = list(dict.fromkeys(p for _, ps in plan for p in ps))
+        missing = [p for p in parts if p not in self.parts]
+        if len(self.parts) + len(missing) > PARTS:
+            self.parts.clear()
+            missing = parts
+        self._learn_parts(missing)
+        get = self.parts.__getitem__
+        for w, ps in plan:
+            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        out = [b"".join(map(self.words.__getitem__, ws)) for ws in texts]
+        for w in new:
+            if len(w) > 64:  # long words are not worth the memory
+                del self.words[w]
+        for p in missing:
+            if len(p) > 64:
+                del self.parts[p]
+        return out
+
+
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of a worker process; it outlives the task."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = WordEncoder(path)
+    return _ENCODERS[path]
+
+
+def _chunks(ids: list, texts: list[bytes]):
+    """(ids, word lists) of successive documents of about CHUNK bytes together."""
+    at, size = 0, 0
+    for k, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK or k == len(texts) - 1:
+            yield ids[at : k + 1], [t.split() for t in texts[at : k + 1]]
+            at, size = k + 1, 0
 
 
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -62,18 +146,21 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
     def run(batches):
         import uuid
 
-        words = word_encoder(path or tokenizer_path())
+        from lexiquarry.llm import packing  # the module's encoder outlives the task
+
+        words = packing.word_encoder(path or packing.tokenizer_path())
         part, seen = uuid.uuid4().hex, np.zeros(capacity + 1, dtype=np.int64)
         width = 4 * capacity
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), raw(b.column(1))):
-                ids = b"".join(map(words.__getitem__, t.split())) + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), width)):
-                    p = ids[at : at + width]
-                    n = len(p) // 4
-                    out.append((i, k, at // 4, n, zlib.crc32(p), part, int(seen[n])))
-                    seen[n] += 1
+            for docs_, texts in _chunks(b.column(0).to_pylist(), raw(b.column(1))):
+                for i, ids in zip(docs_, words.encode(texts)):
+                    ids += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(ids), width)):
+                        p = ids[at : at + width]
+                        n = len(p) // 4
+                        out.append((i, k, at // 4, n, zlib.crc32(p), part, int(seen[n])))
+                        seen[n] += 1
             cols = list(zip(*out)) or [()] * 7
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
