@@ -10,6 +10,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Entities that the expression form resolves; the ampersand goes last in each round.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -28,7 +29,7 @@ def unescape(c: Column, rounds: int = 2) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape_all(texts: pd.Series) -> pd.Series:
     """Resolve every HTML entity until nothing changes. Arrow batches; use only if '&' occurs."""
 

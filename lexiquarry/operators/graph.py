@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiquarry.session import cut
+
 
 def union(*graphs: DataFrame) -> DataFrame:
     """Set union of edges."""
@@ -32,21 +34,21 @@ def descendants(edges: DataFrame, by: list[str], depth: int = 64, exclude_first:
     followed from the node itself, but are further down. The recursion ends when a level is empty;
     ``depth`` guards against cycles. Levels stay one lazy plan up to four, then lineage is cut.
     """
-    step = edges.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("head").alias("_h"), F.col("tail").alias("_t"))
+    step = edges.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("head").alias("_h"), F.col("tail").alias("_t0"))
     nodes = edges.select(*by, F.col("head").alias("node")).unionByName(edges.select(*by, F.col("tail").alias("node"))).distinct()
     found = nodes.withColumn("below", F.col("node"))
     first = edges if exclude_first is None else edges.where(~exclude_first)
     level = first.select(*by, F.col("head").alias("node"), F.col("tail").alias("below")).distinct()
     on = F.col("below") == F.col("_h")
     for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
+        on = on & (F.col(c) == F.col(f"_k_{c}"))
     for k in range(depth):
         if k % 4 == 3:
-            level = level.checkpoint() if level.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else level.persist()
+            level = cut(level)
         found = found.unionByName(level)
         if k % 4 == 3 and not level.head(1):
             break
-        level = level.join(step, on).select(*by, "node", F.col("_t").alias("below")).distinct()
+        level = level.join(step, on).select(*by, "node", F.col("_t0").alias("below")).distinct()
     return found.distinct()
 
 

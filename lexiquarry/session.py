@@ -48,3 +48,10 @@ def spread(df):
     """``df`` dealt over all cores if it has fewer partitions than that (small files); else as it is."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
+def cut(df):
+    """``df`` computed once: checkpointed where a checkpoint folder is set, else persisted (memory, then disk)."""
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        return df.checkpoint()
+    return df.persist()
