@@ -112,7 +112,7 @@ def running(df: DataFrame, within: list[str], order: list[Column], size: Column,
     return out.drop("_b", "_w", "_iw", "_in", "_sb", "_sw", "_sn", *[f"_k{i}" for i in range(len(within))])
 
 
-def bucket_count(rows: int, per: int = 20_000, least: int = 8) -> int:
+def bucket_count(rows: int, per: int = 20_000, least: int = 64) -> int:
     """Buckets for :func:`running` so that one holds about ``per`` rows at any table size."""
     return max(least, -(-rows // per))
 
@@ -127,10 +127,33 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how:
     return big.join(F.broadcast(small) if few(small, limit) else small.hint("merge"), on, how)
 
 
-def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package's code available on the executors."""
+#: Rows of an Arrow batch of texts: long texts are common, and a batch exists several times over.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to ``BATCH_ROWS`` (never raise it)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def arrow_map(df: DataFrame, fn, schema, owner: str | None = None) -> DataFrame:
+    """``df.mapInArrow`` with this package's code available on the executors.
+
+    Worker processes are reused: what operators other than ``owner`` kept in one is freed first.
+    """
     ship(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches):
+        from lexiquarry.llm import _words
+
+        _words.keep_only(owner)
+        yield from fn(batches)
+        _words.keep_only(owner)
+
+    small_batches(df.sparkSession)
+    return df.mapInArrow(task, schema)
 
 
 def join_back(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 2000) -> DataFrame:

@@ -5,6 +5,7 @@ A word is a maximal run outside ``[\\x20\\x09-\\x0D]``: exactly what ``bytes.spl
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
@@ -21,6 +22,19 @@ _MULT = np.array(
 )
 
 
+#: What an operator keeps in a worker process from task to task: owner -> object.
+KEPT: dict[str, object] = {}
+
+
+def keep_only(owner: str | None) -> None:
+    """Free what other operators kept in this worker process."""
+    for k in [k for k in KEPT if k != owner]:
+        del KEPT[k]
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # freed heap goes back to the system
+        trim(0)
+
+
 class Memo(dict):
     """word -> value with a bounded number of remembered words."""
 

@@ -179,10 +179,10 @@ def surviving(text: bytes, keep: bytes | None) -> tuple[int, int, bytes]:
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with the column ``_keep``; texts move only if there are too many bitmaps to broadcast."""
-    maps = materialize(bitmaps, "line-bitmaps").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("keep").alias("_keep"))
+    maps = materialize(bitmaps, "line-bitmaps").select(F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th"), F.col("keep").alias("__lq_keep"))
     th = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    on = F.col(doc_id).cast("long").eqNullSafe(F.col("_id")) & (th == F.col("_th"))
-    return join_checked(docs, maps, on, "left").drop("_id", "_th")
+    on = F.col(doc_id).cast("long").eqNullSafe(F.col("__lq_id")) & (th == F.col("__lq_th"))
+    return join_checked(docs, maps, on, "left").drop("__lq_id", "__lq_th")
 
 
 def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -199,7 +199,7 @@ def apply(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
             cols[at] = pa.array(out, b.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return arrow_map(marked.select(*columns, "_keep"), run, schema)
+    return arrow_map(marked.select(*columns, "__lq_keep"), run, schema)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -214,7 +214,7 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_lines", "n_dropped", "kept_sha256"],
             )
 
-    return arrow_map(marked.select("doc_id", "text", "_keep"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return arrow_map(marked.select("doc_id", "text", "__lq_keep"), run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 SQL = r"""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm._scratch import arrow_map, materialize
-from lexiquarry.llm._words import raw
+from lexiquarry.llm._words import KEPT, raw
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -49,9 +49,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 #: (for these, lower-casing and composition leave nothing to interpretation).
 _SIMPLE = re.compile("[\x21-\x7e\xc0-\xff]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_ENCODERS: dict[str, "WordEncoder"] = {}
 #: Words, and pieces of words, that a worker process remembers; bytes of text looked up at a time.
-WORDS, PARTS, CHUNK = 1_000_000, 800_000, 2_000_000
+WORDS, PARTS, CHUNK = 800_000, 600_000, 2_000_000
 
 
 class WordEncoder:
@@ -123,10 +122,11 @@ class WordEncoder:
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """The encoder of a worker process; it outlives the task."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The encoder of a worker process; it outlives the task, until another operator's task comes."""
+    name = f"packing {path}"
+    if name not in KEPT:
+        KEPT[name] = WordEncoder(path)
+    return KEPT[name]
 
 
 def _chunks(ids: list, texts: list[bytes]):
@@ -142,13 +142,14 @@ def _chunks(ids: list, texts: list[bytes]):
 def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, nth): ``nth`` counts within (part, length)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part string, nth long"
+    path = path or tokenizer_path()
 
     def run(batches):
         import uuid
 
         from lexiquarry.llm import packing  # the module's encoder outlives the task
 
-        words = packing.word_encoder(path or packing.tokenizer_path())
+        words = packing.word_encoder(path)
         part, seen = uuid.uuid4().hex, np.zeros(capacity + 1, dtype=np.int64)
         width = 4 * capacity
         for b in batches:
@@ -166,7 +167,7 @@ def pieces(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return arrow_map(rows, run, schema)
+    return arrow_map(rows, run, schema, f"packing {path}")
 
 
 def plan_histogram(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
