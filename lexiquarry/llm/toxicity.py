@@ -32,7 +32,7 @@ from lexiquarry.llm._scratch import arrow_map, held_out
 from lexiquarry.llm._words import Memo, raw
 
 #: Bounds of the training sample: confirmed toxic documents and unlabelled documents.
-TOXIC_DOCS, UNLABELLED_DOCS = 3000, 9000
+TOXIC_DOCS, UNLABELLED_DOCS = 2500, 7500
 BITS = 18
 GRAM = 5
 _EDGE = b".,;:!?\"'()#*$%&|<>-"
@@ -101,8 +101,10 @@ def _risk01(sp: np.ndarray, su: np.ndarray, prior: float, at: np.ndarray) -> np.
 def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int = 16, seed: int = 17) -> ToxicityModel:
     """Train on feature-index arrays of toxic (``pos``) and unlabelled (``unl``) documents."""
     size = 1 << BITS
-    cp = np.bincount(np.concatenate(pos), minlength=size)
-    cu = np.bincount(np.concatenate(unl), minlength=size) if unl else np.zeros(size)
+    cp, cu = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for count, lists in ((cp, pos), (cu, unl)):
+        for x in lists:  # a document's features are distinct
+            count[x] += 1
     fp, fu = cp / len(pos), cu / max(1, len(unl))
     fn = np.maximum(fu - prior * fp, 0) / (1 - prior)  # share among negatives, corrected by the prior
     ratio = np.log((fp + 0.5 / len(pos)) / (fn + 0.5 / max(1, len(unl))))
@@ -184,7 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, unla
 
     got = arrow_map(with_text(docs, sample).select("doc_id", "text", "label"), run, "doc_id long, label int, f binary").toPandas()
     got = got.sort_values(["doc_id", "label"], kind="stable")
-    lists = lambda k: [np.frombuffer(x, np.int32).astype(np.int64) for x in got["f"][got["label"] == k]]
+    lists = lambda k: [np.frombuffer(x, np.int32) for x in got["f"][got["label"] == k]]
     pos, unl = lists(1), lists(0)
     return fit(pos, unl, prior) if pos and unl else ToxicityModel()
 
