@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import line_dedup, mixing, near_dedup, packing, quality_classifier
-from lexiquarry.llm._scratch import join_checked, materialize, scratch_root
+from lexiquarry.llm._scratch import join_checked, materialize
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,32 +38,35 @@ def _identity(docs: DataFrame):
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every member of a group but the first; only dropped ids are joined with the texts."""
+    """Drops every member of a group but the first; only dropped ids are joined with the texts.
+
+    Rows without an id stay unless they are linked with a row that has one.
+    """
     found = materialize(near_dedup.near_duplicates(docs), "pipeline-near")
     members = found.where(F.col("n_component") > 1)
-    gone = members.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct()
+    gone = members.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th")).distinct()
     gone = materialize(gone, "pipeline-gone")
     i, th = _identity(docs)
-    kept = join_checked(docs, gone, i.eqNullSafe(F.col("_id")) & (th == F.col("_th")), "left_anti")
+    kept = join_checked(docs, gone, i.eqNullSafe(F.col("__lq_id")) & (th == F.col("__lq_th")), "left_anti")
     # Several rows may carry the id that stays (repeated rows): the first text stays, once.
     again = members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    again = materialize(again.where("n > 1").select(F.col("component_id").alias("_again")), "pipeline-again")
+    again = materialize(again.where("n > 1 and component_id is not null").select(F.col("component_id").alias("__lq_again")), "pipeline-again")
     if not again.head(1):
         return kept
     w = Window.partitionBy("doc_id").orderBy(th, *[F.col(c) for c in kept.columns if c not in ("doc_id", "text")])
-    flagged = kept.join(F.broadcast(again) if again.count() < 100_000 else again, i.eqNullSafe(F.col("_again")), "left")
-    single = flagged.where(F.col("_again").isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    return flagged.where(F.col("_again").isNull()).select(*docs.columns).unionByName(single.select(*docs.columns))
+    flagged = kept.join(F.broadcast(again) if again.count() < 100_000 else again, i.eqNullSafe(F.col("__lq_again")), "left")
+    single = flagged.where(F.col("__lq_again").isNotNull()).withColumn("__lq_n", F.row_number().over(w)).where("__lq_n = 1")
+    return flagged.where(F.col("__lq_again").isNull()).select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs)
     times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(0).cast("int")
     i, th = _identity(docs)
-    plan = mixed.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), times.alias("_times")).groupBy("_id", "_th").agg(F.max("_times").alias("_times"))
+    plan = mixed.select(F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th"), times.alias("__lq_times")).groupBy("__lq_id", "__lq_th").agg(F.max("__lq_times").alias("__lq_times"))
     plan = materialize(plan, "pipeline-mix")
-    out = join_checked(docs, plan, i.eqNullSafe(F.col("_id")) & (th == F.col("_th")))
-    repeated = out.where("_times > 0").withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    out = join_checked(docs, plan, i.eqNullSafe(F.col("__lq_id")) & (th == F.col("__lq_th")))
+    repeated = out.where("__lq_times > 0").withColumn("__lq_use", F.explode(F.sequence(F.lit(1), F.col("__lq_times"))))
     return repeated.select(*docs.columns)
 
 
