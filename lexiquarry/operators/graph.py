@@ -27,29 +27,37 @@ def conjuncts(edges: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by, "node").agg(F.min("conj").alias("conj"))
 
 
-def descendants(edges: DataFrame, by: list[str], depth: int = 64, exclude_first: Column | None = None) -> DataFrame:
+def closure(edges: DataFrame, by: list[str], doublings: int = 12) -> DataFrame:
     """(by, node, below): every node with itself and all nodes under it.
 
-    ``exclude_first`` is a condition on the edge (column ``label``); edges that meet it are not
-    followed from the node itself, but are further down. The recursion ends when a level is empty;
-    ``depth`` guards against cycles. Levels stay one lazy plan up to four, then lineage is cut.
+    Path lengths double with each join, so a tree of depth d takes log2(d) + 1 of them; each is
+    computed once. ``doublings`` guards against cycles, which end by themselves in a set.
     """
-    step = edges.select(*[F.col(c).alias(f"_k_{c}") for c in by], F.col("head").alias("_h"), F.col("tail").alias("_t0"))
-    nodes = edges.select(*by, F.col("head").alias("node")).unionByName(edges.select(*by, F.col("tail").alias("node"))).distinct()
-    found = nodes.withColumn("below", F.col("node"))
-    first = edges if exclude_first is None else edges.where(~exclude_first)
-    level = first.select(*by, F.col("head").alias("node"), F.col("tail").alias("below")).distinct()
-    on = F.col("below") == F.col("_h")
-    for c in by:
-        on = on & (F.col(c) == F.col(f"_k_{c}"))
-    for k in range(depth):
-        if k % 4 == 3:
-            level = cut(level)
-        found = found.unionByName(level)
-        if k % 4 == 3 and not level.head(1):
+    nodes = edges.select(*by, F.col("head").alias("node")).unionByName(edges.select(*by, F.col("tail").alias("node")))
+    step = nodes.withColumn("below", F.col("node")).unionByName(edges.select(*by, F.col("head").alias("node"), F.col("tail").alias("below")))
+    found, n = cut(step.distinct()), None
+    for _ in range(doublings):
+        size = found.count()
+        if size == n:
             break
-        level = level.join(step, on).select(*by, "node", F.col("_t0").alias("below")).distinct()
-    return found.distinct()
+        n = size
+        further = found.select(*by, F.col("node").alias("below"), F.col("below").alias("next"))
+        found = cut(found.join(further, [*by, "below"]).select(*by, "node", F.col("next").alias("below")).distinct())
+    return found
+
+
+def below_first(edges: DataFrame, all_below: DataFrame, by: list[str], exclude: Column) -> DataFrame:
+    """(by, node, below): nodes with themselves and what is under them, not following from the node
+    itself the edges that meet ``exclude``; further down they are followed."""
+    first = edges.where(~exclude).select(*by, F.col("head").alias("top"), F.col("tail").alias("node"))
+    under = first.join(all_below, [*by, "node"]).select(*by, F.col("top").alias("node"), "below")
+    return all_below.where("node = below").unionByName(under).distinct()
+
+
+def descendants(edges: DataFrame, by: list[str], exclude_first: Column | None = None) -> DataFrame:
+    """(by, node, below) by :func:`closure`; ``exclude_first`` as in :func:`below_first`."""
+    found = closure(edges, by)
+    return found if exclude_first is None else below_first(edges, found, by, exclude_first)
 
 
 def descendants_sql(spark, edges: DataFrame, by: str) -> DataFrame:

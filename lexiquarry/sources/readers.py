@@ -70,7 +70,7 @@ def tab_dictionary(lines: DataFrame) -> DataFrame:
     """``term TAB class TAB definition``; lines of fewer fields go."""
     f = F.split("line", "\t")
     keep = lines.where(F.size(f) >= 3)
-    cols = {n: strip_controls(f.getItem(i)) for i, n in enumerate(("term", "word_class", "definition"))}
+    cols = {n: strip_controls(F.get(f, F.lit(i))) for i, n in enumerate(("term", "word_class", "definition"))}
     return keep.withColumns(cols).drop("line")
 
 
@@ -99,7 +99,7 @@ def strided(lines: DataFrame, line: str = "line", sep: str = "\t", *keep: str) -
 def id_sentences(lines: DataFrame) -> DataFrame:
     """``id TAB sentence``; rows of fewer columns go."""
     f = F.split("line", "\t")
-    return lines.where(F.size(f) >= 2).select(f.getItem(0).alias("id"), f.getItem(1).alias("sen"))
+    return lines.where(F.size(f) >= 2).select(F.get(f, F.lit(0)).alias("id"), F.get(f, F.lit(1)).alias("sen"))
 
 
 LABELED = ("sid", "sentence", "disrel", "relphrase", "arg1", "arg2", "label")
@@ -109,19 +109,19 @@ def labeled(lines: DataFrame) -> DataFrame:
     """Labelled instances: lower-cased, apostrophes deleted, trimmed; the 7th column may be missing."""
     f = F.split(F.replace(F.lower("line"), F.lit("'"), F.lit("")), "\t")
     rows = lines.where(~F.lower("line").startswith("sid\t")).where(F.size(f) >= 6)
-    return rows.select(*[F.trim(F.get(f, i)).alias(n) for i, n in enumerate(LABELED)])
+    return rows.select(*[F.trim(F.get(f, F.lit(i))).alias(n) for i, n in enumerate(LABELED)])
 
 
 def counts(lines: DataFrame) -> DataFrame:
     """``entity TAB count``."""
     f = F.split("line", "\t")
-    return lines.where(F.size(f) >= 2).select(f.getItem(0).alias("entity"), F.expr("try_cast(split(line, '\\t')[1] as bigint)").alias("n"))
+    return lines.where(F.size(f) >= 2).select(F.get(f, F.lit(0)).alias("entity"), F.get(f, F.lit(1)).try_cast("long").alias("n"))
 
 
 def phrase_counts(lines: DataFrame) -> DataFrame:
     """``phrase TAB _ TAB _ TAB count``."""
     f = F.split("line", "\t")
-    return lines.where(F.size(f) >= 4).select(f.getItem(0).alias("phrase"), F.expr("try_cast(split(line, '\\t')[3] as bigint)").alias("n"))
+    return lines.where(F.size(f) >= 4).select(F.get(f, F.lit(0)).alias("phrase"), F.get(f, F.lit(3)).try_cast("long").alias("n"))
 
 
 def weights(spark: SparkSession, path: str) -> dict[str, float]:
@@ -150,10 +150,10 @@ def blocks(lines: DataFrame, by: list[str], order: str = "line_no") -> DataFrame
         *by,
         order,
         "sentence",
-        F.trim(F.regexp_extract(f.getItem(1), shape, 2)).alias("disrel"),
-        F.regexp_extract(f.getItem(1), shape, 1).alias("phrase"),
-        F.trim(f.getItem(0)).alias("arg1"),
-        F.trim(f.getItem(2)).alias("arg2"),
+        F.trim(F.regexp_extract(F.get(f, F.lit(1)), shape, 2)).alias("disrel"),
+        F.regexp_extract(F.get(f, F.lit(1)), shape, 1).alias("phrase"),
+        F.trim(F.get(f, F.lit(0))).alias("arg1"),
+        F.trim(F.get(f, F.lit(2))).alias("arg2"),
     )
 
 
