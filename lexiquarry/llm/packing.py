@@ -50,7 +50,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 _SIMPLE = re.compile("[\x21-\x7e\xc0-\xff]+")
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words, and pieces of words, that a worker process remembers; bytes of text looked up at a time.
-WORDS, PARTS, CHUNK = 800_000, 600_000, 2_000_000
+WORDS, PARTS, CHUNK = 400_000, 400_000, 2_000_000
 
 
 class WordEncoder:
@@ -93,8 +93,7 @@ class WordEncoder:
         wanted = set().union(*texts)
         new = [w for w in wanted if w not in self.words]
         if len(self.words) + len(new) > WORDS:
-            self.words.clear()
-            new = list(wanted)
+            self.words = {w: self.words[w] for w in wanted if w in self.words}  # frequent ones stay
         plan = []
         for w in new:
             text = w.decode()
@@ -105,8 +104,7 @@ class WordEncoder:
         parts = list(dict.fromkeys(p for _, ps in plan for p in ps))
         missing = [p for p in parts if p not in self.parts]
         if len(self.parts) + len(missing) > PARTS:
-            self.parts.clear()
-            missing = parts
+            self.parts = {p: self.parts[p] for p in parts if p in self.parts}
         self._learn_parts(missing)
         get = self.parts.__getitem__
         for w, ps in plan:
