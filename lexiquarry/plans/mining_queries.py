@@ -133,7 +133,7 @@ def top_per_group(spark, sf_dir):
 )
 def pattern_frequency(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("disrel"))
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 1").select("l_orderkey", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     rows = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy("l_orderkey").agg(F.collect_set("p_brand").alias("steps"))
     return search.pattern_frequency(rows.join(o, F.col("l_orderkey") == F.col("o_orderkey")))
