@@ -270,9 +270,9 @@ def first_missing_role(spark, sf_dir):
     """SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS label, string_agg(string_split(text, chr(10))[1], ' ' ORDER BY turn) AS comment FROM conversations GROUP BY conv_id""",
 )
 def label_text(spark, sf_dir):
-    """Texts of a node's parts in order, next to its label."""
+    """Whole texts of a node's parts in order, next to its label."""
     c = table(spark, sf_dir, "conversations")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.split("text", "\n")[0].alias("t")))), lambda x: x["t"]), " ")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]), " ")
     return c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("label"), text.alias("comment"))
 
 

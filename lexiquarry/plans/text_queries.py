@@ -236,7 +236,7 @@ def readable_report(spark, sf_dir):
     return sinks.readable(_facts(spark, sf_dir))
 
 
-# Surrogate tokens of the first line of a turn: arg1, rel and arg2s by position.
+# Surrogate tokens of a turn's first line (the query takes every line): arg1, rel and arg2s by position.
 _TAGS = " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in ws.split())}) THEN '{pos}'" for pos, ws in annotate.LEXICON.items())
 _TOKENS = f"""
   l AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS line FROM conversations),
@@ -248,10 +248,11 @@ _TOKENS = f"""
 
 
 def _tagged(spark, sf_dir):
-    """Turns with token arrays: arg1 is tokens 0-1, rel 2-3, arg2s the rest."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", X.words(F.split("text", "\n")[0]).alias("ws")).where(F.size("ws") >= 6)
+    """Every line of a turn with token arrays: arg1 is tokens 0-1, rel 2-3, arg2s the rest (two at least)."""
+    c = lines.explode_lines(table(spark, sf_dir, "conversations"), "text", "conv_id", "turn")
+    c = c.select("conv_id", "turn", "line_no", X.words(F.col("line")).alias("ws")).where(F.size("ws") >= 6)
     tok = F.transform("ws", lambda w, i: F.struct(i.alias("id"), w.alias("string"), annotate.tag(w).alias("pos"), annotate.lemma(w).alias("lemma")))
-    t = c.select("conv_id", "turn", tok.alias("tokens"))
+    t = c.select("conv_id", "turn", "line_no", tok.alias("tokens"))
     return t.select("*", F.slice("tokens", 1, 2).alias("arg1"), F.slice("tokens", 3, 2).alias("rel"), F.expr("slice(tokens, 5, size(tokens))").alias("arg2s"), F.lit("simple").alias("kind"))
 
 
@@ -288,7 +289,7 @@ _FEATURE_NAME = {
 @book("token_features", f"WITH {_TOKENS} SELECT conv_id, turn, {', '.join(f'CAST({s} AS DOUBLE) AS {k}' for k, s in _FEATURE_SQL.items())} FROM t")
 def token_features(spark, sf_dir):
     f = definition_features()
-    return _tagged(spark, sf_dir).select("conv_id", "turn", *[f[n].alias(k) for k, n in _FEATURE_NAME.items()])
+    return _tagged(spark, sf_dir).select("conv_id", "turn", "line_no", *[f[n].alias(k) for k, n in _FEATURE_NAME.items()])
 
 
 @book(
@@ -300,7 +301,7 @@ def token_features(spark, sf_dir):
 )
 def logistic_score(spark, sf_dir):
     """Fixed weights; features of weight 0 are not computed."""
-    return _tagged(spark, sf_dir).select("conv_id", "turn", F.round(score(), 6).alias("confidence"))
+    return _tagged(spark, sf_dir).select("conv_id", "turn", "line_no", F.round(score(), 6).alias("confidence"))
 
 
 @book("noun_definitions")

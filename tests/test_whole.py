@@ -37,3 +37,26 @@ def test_pattern_frequency_takes_whole_orders(spark, con):
              FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)
            SELECT disrel, pattern, count(*) AS n FROM s GROUP BY ALL""",
     )
+
+
+def talk(spark, tmp_path, *rows):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_every_line_of_a_turn_has_features_and_a_score(spark, tmp_path):
+    long = " ".join(["She", "said", "it", "has"] + ["word"] * 16)
+    d = talk(spark, tmp_path, (1, 0, "user", f"too short\nThe dog is eating the bone\n{long}"), (2, 0, "user", "a b c d e f"))
+    got = {(r.conv_id, r.turn, r.line_no): r for r in QUERIES["token_features"](spark, d).collect()}
+    assert sorted(got) == [(1, 0, 1), (1, 0, 2), (2, 0, 0)]
+    one, two = got[1, 0, 1], got[1, 0, 2]
+    assert (one.short, one.long, one.rel_vbz, one.arg1_pronoun, one.arg2s_noun) == (1, 0, 1, 0, 1)
+    assert (two.short, two.long, two.rel_vbz, two.arg1_pronoun, two.blacklisted) == (0, 1, 1, 1, 1)
+    scores = {(r.conv_id, r.turn, r.line_no): r.confidence for r in QUERIES["logistic_score"](spark, d).collect()}
+    assert sorted(scores) == sorted(got) and scores[1, 0, 1] > scores[1, 0, 2]
+
+
+def test_label_text_joins_whole_turns(spark, con, tmp_path):
+    same(spark, con, "label_text", "SELECT conv_id, max(role) FILTER (turn = 0) AS label, string_agg(text, ' ' ORDER BY turn) AS comment FROM conversations GROUP BY conv_id")
+    d = talk(spark, tmp_path, (1, 1, "assistant", "c\nd"), (1, 0, "user", "a\nb"))
+    assert [tuple(r) for r in QUERIES["label_text"](spark, d).select("label", "comment").collect()] == [("user", "a\nb c\nd")]
