@@ -118,10 +118,11 @@ def graph_diff(spark, sf_dir):
 
 
 def _place_edges(spark, sf_dir):
-    """region -> nation -> supplier as one tree of string ids."""
+    """region -> nation -> supplier or customer as one tree of string ids."""
     n = table(spark, sf_dir, "nation").select(F.lit("world").alias("tree"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("head"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("tail"), F.lit("has").alias("label"))
     s = table(spark, sf_dir, "supplier").select(F.lit("world").alias("tree"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("head"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("tail"), F.lit("of").alias("label"))
-    return n.unionByName(s)
+    c = table(spark, sf_dir, "customer").select(F.lit("world").alias("tree"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("head"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tail"), F.lit("of").alias("label"))
+    return n.unionByName(s).unionByName(c)
 
 
 _TREE = """e(head, tail) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
@@ -131,7 +132,7 @@ _TREE = """e(head, tail) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM
 
 @book("descendants", f"WITH RECURSIVE {_TREE} SELECT DISTINCT 'world' AS tree, node, under AS below FROM below")
 def descendants(spark, sf_dir):
-    return graph.descendants_sql(spark, _place_edges(spark, sf_dir), "tree")
+    return graph.descendants(_place_edges(spark, sf_dir), ["tree"])
 
 
 @book("conjunct_min", "SELECT a.n_nationkey AS node, min(b.n_nationkey) AS conj FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY a.n_nationkey")
@@ -166,16 +167,18 @@ def longest_run(spark, sf_dir):
         SELECT 'world' AS tree, h.node, s.size FROM h JOIN s ON s.node = h.node WHERE h.n = (SELECT count(*) FROM f) ORDER BY s.size, h.node DESC LIMIT 1""",
 )
 def covering_ancestor(spark, sf_dir):
-    closure = graph.descendants_sql(spark, _place_edges(spark, sf_dir), "tree")
-    focus = table(spark, sf_dir, "supplier").where("s_suppkey < 2").select(F.lit("world").alias("tree"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("below"))
-    known = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("below"))
-    # max_by needs an orderable node: larger strings win ties.
-    k = focus.join(known, "below", "left_semi").distinct()
+    """Per order, the smallest place over its customer and all its suppliers; orders across regions have none."""
+    closure = graph.descendants(_place_edges(spark, sf_dir), ["tree"])
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("below"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("below"))
+    focus = o.unionByName(li).distinct()
     sizes = closure.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"))
-    hits = closure.join(k, ["tree", "below"]).groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"))
-    n = k.groupBy("tree").agg(F.count(F.lit(1)).alias("k"))
-    full = hits.join(n, "tree").where("n = k").join(sizes, ["tree", "node"])
-    return full.groupBy("tree").agg(F.max_by(F.struct("node", "size"), F.struct(-F.col("size"), F.col("node"))).alias("x")).select("tree", "x.node", "x.size")
+    hits = focus.join(closure, "below").groupBy("o_orderkey", "tree", "node").agg(F.count(F.lit(1)).alias("n"))
+    k = focus.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k"))
+    full = hits.join(k, "o_orderkey").where("n = k").join(sizes, ["tree", "node"])
+    # max_by needs an orderable node: larger strings win ties.
+    best = full.groupBy("o_orderkey", "tree").agg(F.max_by(F.struct("node", "size"), F.struct(-F.col("size"), F.col("node"))).alias("x"))
+    return best.select("o_orderkey", "tree", "x.node", "x.size")
 
 
 _SYM = """e AS (SELECT 0 AS place, n_regionkey AS a, 100 + n_nationkey AS b FROM nation UNION ALL SELECT 0, 100 + s_nationkey, 1000 + s_suppkey FROM supplier),
@@ -183,9 +186,12 @@ _SYM = """e AS (SELECT 0 AS place, n_regionkey AS a, 100 + n_nationkey AS b FROM
 
 
 def _number_edges(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("place"), F.col("n_regionkey").cast("long").alias("head"), (F.col("n_nationkey") + 100).cast("long").alias("tail"), F.lit("has").alias("label"))
-    s = table(spark, sf_dir, "supplier").select(F.lit(0).alias("place"), (F.col("s_nationkey") + 100).cast("long").alias("head"), (F.col("s_suppkey") + 1000).alias("tail"), F.lit("of").alias("label"))
-    return n.unionByName(s)
+    """Regions, nations and suppliers by number, customers as c and their key."""
+    at = lambda c: c.cast("string")
+    n = table(spark, sf_dir, "nation").select(F.lit(0).alias("place"), at(F.col("n_regionkey")).alias("head"), at(F.col("n_nationkey") + 100).alias("tail"), F.lit("has").alias("label"))
+    s = table(spark, sf_dir, "supplier").select(F.lit(0).alias("place"), at(F.col("s_nationkey") + 100).alias("head"), at(F.col("s_suppkey") + 1000).alias("tail"), F.lit("of").alias("label"))
+    c = table(spark, sf_dir, "customer").select(F.lit(0).alias("place"), at(F.col("c_nationkey") + 100).alias("head"), F.concat(F.lit("c"), at(F.col("c_custkey"))).alias("tail"), F.lit("of").alias("label"))
+    return n.unionByName(s).unionByName(c)
 
 
 @book(
@@ -196,10 +202,10 @@ def _number_edges(spark, sf_dir):
        SELECT k, array_to_string(n, '-') AS path FROM p""",
 )
 def paths_len_k(spark, sf_dir):
-    """Simple undirected paths of 1 to 3 edges between regions, nations and suppliers."""
+    """Simple undirected paths of 1 to 3 edges between regions, nations, suppliers and customers."""
     e, out = _number_edges(spark, sf_dir), None
     for k in (1, 2, 3):
-        p = graph.paths(e, ["place"], k).select(F.lit(k).alias("k"), F.array_join(F.transform("nodes", lambda x: x.cast("string")), "-").alias("path"))
+        p = graph.paths(e, ["place"], k).select(F.lit(k).alias("k"), F.array_join("nodes", "-").alias("path"))
         out = p if out is None else out.unionByName(p)
     return out
 

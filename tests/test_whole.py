@@ -60,3 +60,51 @@ def test_label_text_joins_whole_turns(spark, con, tmp_path):
     same(spark, con, "label_text", "SELECT conv_id, max(role) FILTER (turn = 0) AS label, string_agg(text, ' ' ORDER BY turn) AS comment FROM conversations GROUP BY conv_id")
     d = talk(spark, tmp_path, (1, 1, "assistant", "c\nd"), (1, 0, "user", "a\nb"))
     assert [tuple(r) for r in QUERIES["label_text"](spark, d).select("label", "comment").collect()] == [("user", "a\nb c\nd")]
+
+
+_LEAVES = """leaf AS (SELECT s_nationkey AS n, 's' || s_suppkey AS x, (1000 + s_suppkey)::VARCHAR AS y FROM supplier UNION ALL SELECT c_nationkey, 'c' || c_custkey, 'c' || c_custkey FROM customer)"""
+_WALK = f"""{_LEAVES}, e AS (SELECT n_regionkey::VARCHAR AS a, (100 + n_nationkey)::VARCHAR AS b, 'has' AS l FROM nation UNION ALL SELECT (100 + n)::VARCHAR, y, 'of' FROM leaf),
+  w AS (SELECT a, b, l, true AS d FROM e UNION ALL SELECT b, a, l, false FROM e),
+  p2 AS (SELECT x.a, x.b AS m, z.b AS c, x.l AS l1, x.d AS d1, z.l AS l2, z.d AS d2 FROM w x JOIN w z ON x.b = z.a WHERE z.b <> x.a)"""
+
+
+def test_descendants_reach_customers(spark, con):
+    same(
+        spark,
+        con,
+        "descendants",
+        f"""WITH {_LEAVES}, t AS (SELECT 'r' || n_regionkey AS r, 'n' || n_nationkey AS n, x FROM nation LEFT JOIN leaf ON n_nationkey = n),
+            p AS (SELECT r AS node, r AS below FROM t UNION SELECT n, n FROM t UNION SELECT x, x FROM t UNION SELECT r, n FROM t UNION SELECT n, x FROM t UNION SELECT r, x FROM t)
+            SELECT 'world' AS tree, * FROM p WHERE below IS NOT NULL""",
+    )
+
+
+def test_paths_pass_customers(spark, con):
+    same(
+        spark,
+        con,
+        "paths_len_k",
+        f"""WITH {_WALK} SELECT 1 AS k, a || '-' || b AS path FROM w UNION SELECT 2, a || '-' || m || '-' || c FROM p2
+            UNION SELECT 3, p.a || '-' || m || '-' || c || '-' || w.b FROM p2 p JOIN w ON p.c = w.a WHERE w.b NOT IN (p.a, p.m)""",
+    )
+    same(
+        spark,
+        con,
+        "path_patterns",
+        f"""WITH {_WALK} SELECT array_to_string(list_sort([l1 || CASE WHEN d1 THEN '(_1, _3)' ELSE '(_3, _1)' END, l2 || CASE WHEN d2 THEN '(_3, _2)' ELSE '(_2, _3)' END]), ', ') AS pattern, count(*) AS n
+            FROM p2 GROUP BY 1""",
+    )
+
+
+def test_covering_place_of_every_order(spark, con):
+    same(
+        spark,
+        con,
+        "covering_ancestor",
+        f"""WITH {_LEAVES}, t AS (SELECT 'r' || n_regionkey AS r, 'n' || n_nationkey AS n, x FROM nation JOIN leaf ON n_nationkey = n),
+            f AS (SELECT o_orderkey, 'c' || o_custkey AS x FROM orders UNION SELECT l_orderkey, 's' || l_suppkey FROM lineitem),
+            g AS (SELECT o_orderkey, count(*) AS k, count(DISTINCT x) AS xs, count(DISTINCT n) AS ns, count(DISTINCT r) AS rs, min(x) AS x, min(n) AS n, min(r) AS r FROM f JOIN t USING (x) GROUP BY o_orderkey),
+            a AS (SELECT o_orderkey, CASE WHEN xs = 1 THEN x WHEN ns = 1 THEN n ELSE r END AS node FROM g WHERE rs = 1),
+            z AS (SELECT n AS node, 1 + count(*) AS size FROM t GROUP BY n UNION ALL SELECT r, 1 + count(*) + count(DISTINCT n) FROM t GROUP BY r UNION ALL SELECT x, 1 FROM t)
+            SELECT o_orderkey, 'world' AS tree, node, size FROM a JOIN z USING (node)""",
+    )
