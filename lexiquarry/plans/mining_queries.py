@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiquarry.functions.text import words
 from lexiquarry.operators import learning, search
 from lexiquarry.plans._book import Book
 from lexiquarry.sources.readers import table
@@ -51,7 +52,8 @@ def two_field_search(spark, sf_dir):
         SELECT term, 'text' AS field, item_id AS doc_id, array_to_string(list_sort(list(pos)), ' ') AS positions FROM u GROUP BY term, item_id""",
 )
 def inverted_index(spark, sf_dir):
-    got = search.index(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    """Every term of the corpus, with its places in each document."""
+    got = search.index(table(spark, sf_dir, "documents"), "doc_id", "text")
     return got.withColumn("positions", F.array_join(F.transform("positions", lambda x: x.cast("string")), " "))
 
 
@@ -216,10 +218,14 @@ _WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\r\\f]+'), lambda w: w <
         SELECT doc_id, round(CASE WHEN len(ws) > 0 THEN ln(len(ws)) ELSE 0 END, 6) AS log_length, round(ln(len(list_intersect(list_distinct(lw), bw)) + 1), 6) AS log_overlap FROM w, b""",
 )
 def numeric_features(spark, sf_dir):
+    """Every labelled document with each benchmark item it shares words with; once without item if there is none."""
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("doc_id", "text")
-    b = table(spark, sf_dir, "benchmark").where("item_id = 0").select(F.col("text").alias("other"))
-    x = d.crossJoin(F.broadcast(b))  # one row
-    return x.select("doc_id", F.round(learning.log_length(F.col("text")), 6).alias("log_length"), F.round(learning.log_overlap(F.col("text"), F.col("other")), 6).alias("log_overlap"))
+    x = d.select("doc_id", F.xxhash64("text").alias("th"), learning.log_length(F.col("text")).alias("log_length"), words(F.lower("text")).alias("ws"))
+    w = x.select("doc_id", "th", F.explode(F.array_distinct("ws")).alias("word")).distinct()
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.xxhash64("text").alias("ih"), F.explode(F.array_distinct(words(F.lower("text")))).alias("word"))
+    pairs = w.join(b, "word").groupBy("doc_id", "th", "item_id", "ih").agg(F.count(F.lit(1)).alias("n"))
+    overlap = F.log(F.coalesce("n", F.lit(0)) + F.lit(1.0))
+    return x.join(pairs, ["doc_id", "th"], "left").select("doc_id", "item_id", F.round("log_length", 6).alias("log_length"), F.round(overlap, 6).alias("log_overlap"))
 
 
 @book(

@@ -108,3 +108,29 @@ def test_covering_place_of_every_order(spark, con):
             z AS (SELECT n AS node, 1 + count(*) AS size FROM t GROUP BY n UNION ALL SELECT r, 1 + count(*) + count(DISTINCT n) FROM t GROUP BY r UNION ALL SELECT x, 1 FROM t)
             SELECT o_orderkey, 'world' AS tree, node, size FROM a JOIN z USING (node)""",
     )
+
+
+def test_overlap_with_every_benchmark_item(spark, con):
+    ws = "list_filter(string_split_regex({0}, '[ \\t\\n\\r\\f]+'), lambda w: w <> '')"
+    same(
+        spark,
+        con,
+        "numeric_features",
+        f"""WITH d AS (SELECT doc_id, {ws.format('text')} AS ws, list_distinct({ws.format('lower(text)')}) AS lw FROM documents JOIN labels USING (doc_id)),
+            b AS (SELECT item_id, {ws.format('lower(text)')} AS bw FROM benchmark), p AS (SELECT doc_id, item_id, len(list_intersect(lw, bw)) AS n FROM d, b WHERE list_has_any(lw, bw))
+            SELECT doc_id, item_id, round(CASE WHEN len(ws) > 0 THEN ln(len(ws)) ELSE 0 END, 6) AS log_length, round(ln(coalesce(n, 0) + 1), 6) AS log_overlap FROM d LEFT JOIN p USING (doc_id)""",
+    )
+
+
+def test_overlap_keeps_documents_without_common_words(spark, tmp_path):
+    spark.createDataFrame([(1, "Alpha beta beta"), (2, "gamma"), (3, "")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 0), (3, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "none"), (7, "beta alpha"), (8, "x Beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.log_overlap for r in QUERIES["numeric_features"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 7): 1.098612, (1, 8): 0.693147, (2, None): 0.0, (3, None): 0.0}
+
+
+def test_inverted_index_is_over_documents(spark, tmp_path):
+    spark.createDataFrame([(5, "To be, or not to be"), (6, "be")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.term, r.doc_id): r.positions for r in QUERIES["inverted_index"](spark, str(tmp_path)).collect()}
+    assert got == {("to", 5): "0 4", ("be", 5): "1 5", ("or", 5): "2", ("not", 5): "3", ("be", 6): "0"}
