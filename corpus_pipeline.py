@@ -43,18 +43,24 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows without an id stay unless they are linked with a row that has one.
     """
     found = materialize(near_dedup.near_duplicates(docs), "pipeline-near")
-    members = found.where(F.col("n_component") > 1)
-    gone = members.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th")).distinct()
-    gone = materialize(gone, "pipeline-gone")
+    members = found.where("n_component > 1 and component_id is not null")
+    own = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Several rows of a component may carry the id that stays: its first text stays, once.
+    again = members.where(own).groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("th").alias("__lq_first"), F.first("component_id").alias("__lq_again"))
+    again = materialize(again.where("n > 1").select(F.col("root").alias("__lq_root"), "__lq_first", "__lq_again"), "pipeline-again")
+    repeated = bool(again.head(1))
+    identity = [F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th")]
+    gone = members.where(~own).select(*identity)
+    if repeated:
+        others = members.where(own).join(again, F.col("root") == F.col("__lq_root")).where(F.col("th") != F.col("__lq_first"))
+        gone = gone.unionByName(others.select(*identity))
+    gone = materialize(gone.distinct(), "pipeline-gone")
     i, th = _identity(docs)
     kept = join_checked(docs, gone, i.eqNullSafe(F.col("__lq_id")) & (th == F.col("__lq_th")), "left_anti")
-    # Several rows may carry the id that stays (repeated rows): the first text stays, once.
-    again = members.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    again = materialize(again.where("n > 1 and component_id is not null").select(F.col("component_id").alias("__lq_again")), "pipeline-again")
-    if not again.head(1):
+    if not repeated:
         return kept
-    w = Window.partitionBy("doc_id").orderBy(th, *[F.col(c) for c in kept.columns if c not in ("doc_id", "text")])
-    flagged = kept.join(F.broadcast(again) if again.count() < 100_000 else again, i.eqNullSafe(F.col("__lq_again")), "left")
+    w = Window.partitionBy(i, th).orderBy(*[F.col(c) for c in kept.columns if c not in ("doc_id", "text")])
+    flagged = kept.join(F.broadcast(again) if again.count() < 100_000 else again, (i == F.col("__lq_again")) & (th == F.col("__lq_first")), "left")
     single = flagged.where(F.col("__lq_again").isNotNull()).withColumn("__lq_n", F.row_number().over(w)).where("__lq_n = 1")
     return flagged.where(F.col("__lq_again").isNull()).select(*docs.columns).unionByName(single.select(*docs.columns))
 
