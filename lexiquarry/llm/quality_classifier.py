@@ -27,7 +27,7 @@ from lexiquarry.llm._scratch import arrow_map, held_out
 from lexiquarry.llm._words import raw
 
 #: Bounds of the training sample: documents of each kind for the dictionaries and for calibration,
-#: bytes of one document given to the dictionary trainer, and bytes of a dictionary.
+#: bytes of the pieces in which the dictionary trainer gets whole texts, and bytes of a dictionary.
 DICT_DOCS, FIT_DOCS, DICT_BYTES_EACH, DICT_BYTES = 800, 2000, 6000, 110_000
 LEVEL = 3
 #: Documents with at least this score are kept.
@@ -90,6 +90,11 @@ def dictionary(texts: list[bytes]) -> bytes:
         return b"\n".join(texts)[-DICT_BYTES:] or b"\n" * 8
 
 
+def pieces(texts: list[bytes], size: int) -> list[bytes]:
+    """Whole texts cut into pieces of at most ``size`` bytes."""
+    return [t[i : i + size] for t in texts for i in range(0, len(t), size)]
+
+
 def _scores(docs: DataFrame, model: CompressionModel) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -98,8 +103,10 @@ def _scores(docs: DataFrame, model: CompressionModel) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, score double")
 
 
-def train(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, fit_docs: int = FIT_DOCS) -> CompressionModel:
-    """Fit on at most ``2 * (dict_docs + fit_docs)`` labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, fit_docs: int = FIT_DOCS, piece_bytes: int = DICT_BYTES_EACH) -> CompressionModel:
+    """Fit on at most ``2 * (dict_docs + fit_docs)`` labelled rows outside the held-out fold.
+
+    Dictionaries are trained on whole texts in pieces of ``piece_bytes``."""
     rows = learnable(labels, "quality")
     n = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     good, bad = n.get(1, 0), sum(v for k, v in n.items() if k != 1)
@@ -117,7 +124,7 @@ def train(docs: DataFrame, labels: DataFrame, dict_docs: int = DICT_DOCS, fit_do
     for k in (1, 0):
         own = np.flatnonzero(y == k)
         cutoff = max(1, min(dict_docs, len(own) * 2 // 5))
-        groups[k], rest = [texts[i][:DICT_BYTES_EACH] for i in own[:cutoff]], [*rest, *own[cutoff:]]
+        groups[k], rest = pieces([texts[i] for i in own[:cutoff]], piece_bytes), [*rest, *own[cutoff:]]
     model = CompressionModel(dictionary(groups[1]), dictionary(groups[0]))
     if len(rest) < 2 or len(set(y[rest])) < 2:
         return CompressionModel(constant=(good + 1) / (good + bad + 2))
