@@ -134,3 +134,11 @@ def test_inverted_index_is_over_documents(spark, tmp_path):
     spark.createDataFrame([(5, "To be, or not to be"), (6, "be")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.term, r.doc_id): r.positions for r in QUERIES["inverted_index"](spark, str(tmp_path)).collect()}
     assert got == {("to", 5): "0 4", ("be", 5): "1 5", ("or", 5): "2", ("not", 5): "3", ("be", 6): "0"}
+
+
+def test_definitions_with_a_long_subject_are_read():
+    from lexiquarry.operators.cascade import facts, surrogate_tokens
+
+    nouns = " ".join(f"noun{'abcdefghijklmnop'[i]}" for i in range(14))
+    got = facts(surrogate_tokens(f"{nouns} is a small engine ."))
+    assert ("DefinedTerm", "", "", nouns, "") in got and any(kind == "IsA" for kind, *_ in got)
