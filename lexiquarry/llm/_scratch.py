@@ -127,15 +127,19 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how:
     return big.join(F.broadcast(small) if few(small, limit) else small.hint("merge"), on, how)
 
 
-#: Rows of an Arrow batch of texts: long texts are common, and a batch exists several times over.
-BATCH_ROWS = 2000
+#: Most rows and bytes of an Arrow batch: a batch of texts exists several times over in a worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ``BATCH_ROWS`` (never raise it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's Arrow batch sizes to these (never raise them).
+
+    Plans read these settings when they run, so the session keeps them.
+    """
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow_map(df: DataFrame, fn, schema, owner: str | None = None) -> DataFrame:

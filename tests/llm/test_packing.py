@@ -36,6 +36,23 @@ def test_tokens_pieces_and_layout(docs):
     assert n <= 1.1 * -(-sum(r.length for r in got) // 256) + 1
 
 
+def test_random_strings_are_encoded_as_by_the_tokenizer(monkeypatch):
+    from lexiquarry.llm import packing
+
+    monkeypatch.setattr(packing, "CHUNK", 3000)  # long texts are divided, and pieces forgotten
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    rng = random.Random(1)
+    signs = "aAzZ09 \n\t'.,<|>#éÉßÿ×÷日本́İÀΣσς  \u0085\x1c\x00٣½ﬁ🙂ç`-"
+    whole = ["<|endoftext|>", "<|startoftext|>", "'S", "'ll", "don't", "l'Été"]
+    texts = ["".join(rng.choice(signs) if rng.random() < 0.9 else rng.choice(whole) for _ in range(rng.randrange(60))) for _ in range(5000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(1, 0xD7FF)])) for _ in range(rng.randrange(30))) for _ in range(5000)]
+    texts += ["", " ", "x" * 10_000, " ".join(texts[:2000]), ""]
+    want = tokenizers.Tokenizer.from_file(tokenizer_path()).encode_batch(texts, add_special_tokens=False)
+    got = list(packing.encode_texts(packing.Encoder(tokenizer_path()), [t.encode() for t in texts]))
+    assert [k for k, _ in got] == list(range(len(texts)))
+    assert all(ids.tolist() == want[k].ids for k, ids in got)
+
+
 def test_empty_table(docs):
     assert pack(docs().limit(0)).count() == 0
 
