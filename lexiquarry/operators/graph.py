@@ -27,19 +27,16 @@ def conjuncts(edges: DataFrame, by: list[str]) -> DataFrame:
     return both.groupBy(*by, "node").agg(F.min("conj").alias("conj"))
 
 
-def closure(edges: DataFrame, by: list[str], doublings: int = 12) -> DataFrame:
+def closure(edges: DataFrame, by: list[str]) -> DataFrame:
     """(by, node, below): every node with itself and all nodes under it.
 
-    Path lengths double with each join, so a tree of depth d takes log2(d) + 1 of them; each is
-    computed once. ``doublings`` guards against cycles, which end by themselves in a set.
+    Path lengths double with each join, so depth d takes log2(d) + 1 of them; each is computed once.
+    The set only grows and is finite, so it ends for graphs of any depth, cycles included.
     """
     nodes = edges.select(*by, F.col("head").alias("node")).unionByName(edges.select(*by, F.col("tail").alias("node")))
     step = nodes.withColumn("below", F.col("node")).unionByName(edges.select(*by, F.col("head").alias("node"), F.col("tail").alias("below")))
     found, n = cut(step.distinct()), None
-    for _ in range(doublings):
-        size = found.count()
-        if size == n:
-            break
+    while (size := found.count()) != n:
         n = size
         further = found.select(*by, F.col("node").alias("below"), F.col("below").alias("next"))
         found = cut(found.join(further, [*by, "below"]).select(*by, "node", F.col("next").alias("below")).distinct())
@@ -60,18 +57,6 @@ def descendants(edges: DataFrame, by: list[str], exclude_first: Column | None =
     return found if exclude_first is None else below_first(edges, found, by, exclude_first)
 
 
-def descendants_sql(spark, edges: DataFrame, by: str) -> DataFrame:
-    """The closure as one recursive query, for graphs within the engine's recursion limit."""
-    edges.createOrReplaceTempView("_tree_edges")
-    return spark.sql(
-        f"""WITH RECURSIVE below({by}, node, below) AS (
-              SELECT DISTINCT {by}, head, head FROM _tree_edges
-              UNION SELECT DISTINCT {by}, tail, tail FROM _tree_edges
-              UNION ALL SELECT b.{by}, b.node, e.tail FROM below b JOIN _tree_edges e ON e.{by} = b.{by} AND e.head = b.below
-            ) SELECT DISTINCT {by}, node, below FROM below"""
-    )
-
-
 def longest_run(rows: DataFrame, by: list[str], within: str, at: str) -> DataFrame:
     """Per group, the longest run of consecutive ``at`` in one ``within``: (by, within, start, end, length).
 
@@ -84,17 +69,19 @@ def longest_run(rows: DataFrame, by: list[str], within: str, at: str) -> DataFra
     return best.select(*by, f"x.{within}", "x.start", "x.end", "x.length")
 
 
-def covering(closure: DataFrame, focus: DataFrame, by: list[str]) -> DataFrame:
-    """Per group, the node with the smallest subtree that contains all focus nodes: (by, node, size).
+def covering(closure: DataFrame, focus: DataFrame, by: list[str], each: tuple[str, ...] = ()) -> DataFrame:
+    """Per set of focus nodes, the node with the smallest subtree that contains all: (by, each, node, size).
 
-    ``closure`` is (by, node, below), ``focus`` is (by, below). Ties go to the largest node id.
+    ``closure`` is (by, node, below), ``focus`` is (by, each, below): ``each`` tells several sets over
+    one graph apart. A set that no node covers has no row. Ties go to the largest node id.
     """
-    k = focus.distinct().groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
+    sets, focus = [*by, *each], focus.distinct()
+    k = focus.groupBy(*sets).agg(F.count(F.lit(1)).alias("k"))
     sizes = closure.groupBy(*by, "node").agg(F.count(F.lit(1)).alias("size"))
-    hits = closure.join(focus.distinct(), [*by, "below"]).groupBy(*by, "node").agg(F.count(F.lit(1)).alias("n"))
-    full = hits.join(k, by).where("n = k").join(sizes, [*by, "node"])
-    best = full.groupBy(*by).agg(F.max_by(F.struct("node", "size"), F.struct(-F.col("size"), F.col("node"))).alias("x"))
-    return best.select(*by, "x.node", "x.size")
+    hits = focus.join(closure, [*by, "below"]).groupBy(*sets, "node").agg(F.count(F.lit(1)).alias("n"))
+    full = hits.join(k, sets).where("n = k").join(sizes, [*by, "node"])
+    best = full.groupBy(*sets).agg(F.max_by(F.struct("node", "size"), F.struct(-F.col("size"), F.col("node"))).alias("x"))
+    return best.select(*sets, "x.node", "x.size")
 
 
 def symmetric(edges: DataFrame, by: list[str]) -> DataFrame:
@@ -109,10 +96,16 @@ MAX_PATH = 4
 
 
 def paths(edges: DataFrame, by: list[str], k: int, start: DataFrame | None = None) -> DataFrame:
-    """Undirected simple paths of exactly ``k`` edges: (by, nodes, labels, downs); a set."""
-    if not 1 <= k <= MAX_PATH:
-        raise ValueError(f"path length 1 to {MAX_PATH}")
+    """Undirected simple paths of exactly ``k`` edges: (by, nodes, labels, downs); a set.
+
+    Length 0 is every node by itself.
+    """
+    if not 0 <= k <= MAX_PATH:
+        raise ValueError(f"path length 0 to {MAX_PATH}")
     sym = symmetric(edges, by)
+    if k == 0:
+        nodes = sym.select(*by, F.col("a").alias("node")).distinct() if start is None else start.select(*by, "node").distinct()
+        return nodes.select(*by, F.array("node").alias("nodes"), F.array().cast("array<string>").alias("labels"), F.array().cast("array<boolean>").alias("downs"))
     first = sym if start is None else sym.join(start.select(*by, F.col("node").alias("a")).distinct(), [*by, "a"], "left_semi")
     out = first.select(*by, F.array("a", "b").alias("nodes"), F.array("label").alias("labels"), F.array("down").alias("downs"), F.col("b").alias("end"))
     for _ in range(k - 1):
@@ -122,6 +115,15 @@ def paths(edges: DataFrame, by: list[str], k: int, start: DataFrame | None = Non
     return out.where(F.col("nodes")[0] != F.col("end")).select(*by, "nodes", "labels", "downs").distinct()
 
 
+def paths_up_to(edges: DataFrame, by: list[str], most: int = MAX_PATH, start: DataFrame | None = None) -> DataFrame:
+    """(by, k, nodes, labels, downs): paths of every length from 0 to ``most``."""
+    out = None
+    for k in range(most + 1):
+        p = paths(edges, by, k, start).withColumn("k", F.lit(k))
+        out = p if out is None else out.unionByName(p)
+    return out.select(*by, "k", "nodes", "labels", "downs")
+
+
 def generalize(paths_: DataFrame) -> DataFrame:
     """Adds ``pattern``: the first node is _1, the last _2, others _3.. in path order; sorted steps.
 

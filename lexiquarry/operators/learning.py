@@ -90,9 +90,9 @@ def trainer(numeric: list[str], nominal: list[str], algorithm: str = "Logistic",
 
 
 def useful(rows: DataFrame, columns: list[str]) -> list[str]:
-    """Columns with more than one value: one aggregation over all of them."""
-    r = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return [c for c in columns if r[c] > 1]
+    """Columns with more than one value (nulls do not count): one aggregation over all of them."""
+    r = rows.agg(*[(F.min(c) < F.max(c)).alias(c) for c in columns]).first()
+    return [c for c in columns if r[c]]
 
 
 def folds(rows: DataFrame, key: Column, n: int = 10, seed: int = 2) -> DataFrame:

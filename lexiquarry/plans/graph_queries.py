@@ -4,29 +4,72 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiquarry.functions.ranks import number  # noqa: F401  (numbering is part of this module's vocabulary)
 from lexiquarry.operators import annotate, graph, rules
 from lexiquarry.plans._book import Book
-from lexiquarry.plans.patterns import PLACE, path_candidates
+from lexiquarry.plans.patterns import PLACE, Bind, Differ, Edge, Either, GraphTables, Not, Prop, Tok, construct, match, path_candidates
 from lexiquarry.sources.readers import table
 
 book = Book()
 QUERIES, ORACLE_SQL = book.queries, book.sql
 
 
+def _star(spark, sf_dir) -> GraphTables:
+    """The star schema as a typed graph of one place: nodes with properties, edges by foreign key.
+
+    Ids are a letter and the key; a line of an order is named by its four keys.
+    """
+    place = [F.lit("world").alias("corpus"), F.lit(0).alias("sentence_id")]
+    ident = lambda letter, *keys: F.concat(F.lit(f"{letter}:"), F.concat_ws("-", *[F.col(k).cast("string") for k in keys]))
+    t = {n: table(spark, sf_dir, n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+    line = ident("l", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    nodes = [
+        ("region", ident("r", "r_regionkey"), {"name": "r_name", "key": "r_regionkey"}),
+        ("nation", ident("n", "n_nationkey"), {"name": "n_name", "key": "n_nationkey"}),
+        ("customer", ident("c", "c_custkey"), {"name": "c_name", "key": "c_custkey", "segment": "c_mktsegment"}),
+        ("supplier", ident("s", "s_suppkey"), {"name": "s_name", "key": "s_suppkey"}),
+        ("part", ident("p", "p_partkey"), {"name": "p_name", "key": "p_partkey", "type": "p_type", "brand": "p_brand"}),
+        ("orders", ident("o", "o_orderkey"), {"key": "o_orderkey", "status": "o_orderstatus", "priority": "o_orderpriority"}),
+        ("lineitem", line, {"key": "l_orderkey", "number": "l_linenumber"}),
+    ]
+    links = [
+        ("customer", ident("c", "c_custkey"), "in:nation", ident("n", "c_nationkey")),
+        ("supplier", ident("s", "s_suppkey"), "in:nation", ident("n", "s_nationkey")),
+        ("nation", ident("n", "n_nationkey"), "in:region", ident("r", "n_regionkey")),
+        ("nation", ident("n", "n_nationkey"), "rdfs:label", F.col("n_name")),
+        ("orders", ident("o", "o_orderkey"), "by:customer", ident("c", "o_custkey")),
+        ("lineitem", line, "of:order", ident("o", "l_orderkey")),
+        ("lineitem", line, "of:part", ident("p", "l_partkey")),
+        ("lineitem", line, "from:supplier", ident("s", "l_suppkey")),
+    ]
+    props = ("name", "key", "segment", "type", "brand", "status", "priority", "number")
+    tokens = deps = None
+    for kind, node, have in nodes:
+        columns = [(F.col(have[p]).cast("string") if p in have else F.lit(None).cast("string")).alias(p) for p in props]
+        rows = t[kind].select(*place, node.alias("token_id"), F.lit(kind).alias("kind"), *columns)
+        tokens = rows if tokens is None else tokens.unionByName(rows)
+    for kind, head, label, tail in links:
+        rows = t[kind].select(*place, F.lit("dep").alias("graph"), head.alias("head"), tail.alias("tail"), F.lit(label).alias("label"))
+        deps = rows if deps is None else deps.unionByName(rows)
+    return GraphTables(tokens, deps)
+
+
+def _key(var: str, type_: str = "long"):
+    """The key in a node's id."""
+    return F.substring_index(F.col(var), ":", -1).cast(type_)
+
+
 @book(
     "bgp_chain",
     """SELECT o_orderkey, c_custkey, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'REGION_1' OR r_regionkey = 1""",
 )
 def bgp_chain(spark, sf_dir):
-    """A chain of patterns; the constant is on the last one and is applied before the joins."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation")
-    r = table(spark, sf_dir, "region").where("r_name = 'REGION_1' or r_regionkey = 1")
-    places = n.join(r, n.n_regionkey == r.r_regionkey)
-    return o.join(c, o.o_custkey == c.c_custkey).join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "c_custkey", "n_name", "r_name")
+    """A chain of patterns from its constant end."""
+    g = _star(spark, sf_dir)
+    named = [Either([Tok("r", "name", "REGION_1")], [Tok("r", "key", "1")])]
+    chain = [Edge("n", "in:region", "r"), Edge("c", "in:nation", "n"), Edge("o", "by:customer", "c"), Prop("n", "name", "n_name"), Prop("r", "name", "r_name")]
+    m = match(g, chain, match(g, named).distinct())
+    return m.select(_key("o").alias("o_orderkey"), _key("c").alias("c_custkey"), "n_name", "r_name")
 
 
 @book(
@@ -35,22 +78,13 @@ def bgp_chain(spark, sf_dir):
        JOIN orders ON l_orderkey = o_orderkey WHERE p_type = 'ECONOMY' AND o_orderstatus = 'F'""",
 )
 def bgp_star(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    p = table(spark, sf_dir, "part").where("p_type = 'ECONOMY'").select("p_partkey", "p_brand")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey")
-    out = li.join(p, F.col("l_partkey") == F.col("p_partkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey")).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return out.select("l_orderkey", "l_linenumber", "p_brand", "s_name")
-
-
-def _triples(spark, sf_dir):
-    """Customers, suppliers and nations as (s, p, o)."""
-    t = lambda df, s, p, o, pre, post: df.select(F.concat(F.lit(pre), F.col(s).cast("string")).alias("s"), F.lit(p).alias("p"), F.concat(F.lit(post), F.col(o).cast("string")).alias("o"))
-    c = t(table(spark, sf_dir, "customer"), "c_custkey", "in:nation", "c_nationkey", "c:", "n:")
-    s = t(table(spark, sf_dir, "supplier"), "s_suppkey", "in:nation", "s_nationkey", "s:", "n:")
-    n = t(table(spark, sf_dir, "nation"), "n_nationkey", "in:region", "n_regionkey", "n:", "r:")
-    a = t(table(spark, sf_dir, "nation"), "n_nationkey", "rdfs:label", "n_name", "n:", "")
-    return c.unionByName(s).unionByName(n).unionByName(a)
+    """Patterns around one variable; constants on two of its neighbours."""
+    star = [
+        Tok("p", "type", "ECONOMY"), Prop("p", "brand", "p_brand"), Edge("l", "of:part", "p"), Edge("l", "of:order", "o"), Tok("o", "status", "F"),
+        Edge("l", "from:supplier", "s"), Prop("s", "name", "s_name"),
+    ]
+    keys = F.split(F.substring_index("l", ":", -1), "-")
+    return match(_star(spark, sf_dir), star).select(F.get(keys, F.lit(0)).cast("long").alias("l_orderkey"), F.get(keys, F.lit(1)).cast("int").alias("l_linenumber"), "p_brand", "s_name")
 
 
 _TRIPLES = """t AS (SELECT 'c:' || c_custkey AS s, 'in:nation' AS p, 'n:' || c_nationkey AS o FROM customer
@@ -62,43 +96,49 @@ _TRIPLES = """t AS (SELECT 'c:' || c_custkey AS s, 'in:nation' AS p, 'n:' || c_n
 @book("var_predicate", f"WITH {_TRIPLES} SELECT s, substr(p, 4) AS rel, o FROM t WHERE starts_with(p, 'in:')")
 def var_predicate(spark, sf_dir):
     """A variable predicate with a prefix test, and the part after the prefix."""
-    t = _triples(spark, sf_dir).where(F.col("p").startswith("in:"))
-    return t.select("s", F.regexp_extract("p", "^in:(.*)$", 1).alias("rel"), "o")
+    return match(_star(spark, sf_dir), [Edge("s", "in:*", "o", keep="p")]).select("s", F.regexp_extract("p", "^in:(.*)$", 1).alias("rel"), "o")
 
 
 @book("path_alternative", f"WITH {_TRIPLES} SELECT s, o FROM t WHERE p IN ('in:region', 'rdfs:label')")
 def path_alternative(spark, sf_dir):
-    return _triples(spark, sf_dir).where(F.col("p").isin("in:region", "rdfs:label")).select("s", "o")
+    return match(_star(spark, sf_dir), [Edge("s", "in:region|rdfs:label", "o")]).select("s", "o")
 
 
 @book("filter_regex", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE regexp_matches(c_name, '[05]$') AND NOT regexp_matches(c_mktsegment, '^(MACHINERY|BUILDING)$')")
 def filter_regex(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    return c.where(F.col("c_name").rlike("[05]$") & ~F.col("c_mktsegment").rlike("^(MACHINERY|BUILDING)$")).select("c_custkey", "c_name", "c_mktsegment")
+    atoms = [
+        Tok("c", "kind", "customer"), Tok("c", "name", "[05]$", "regex"), Tok("c", "segment", "^(MACHINERY|BUILDING)$", "not_regex"),
+        Prop("c", "name", "c_name"), Prop("c", "segment", "c_mktsegment"),
+    ]
+    return match(_star(spark, sf_dir), atoms).select(_key("c").alias("c_custkey"), "c_name", "c_mktsegment")
 
 
 @book("not_exists", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def not_exists(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
-    return c.join(o, "c_custkey", "left_anti")
+    atoms = [Tok("c", "kind", "customer"), Prop("c", "name", "c_name"), Not(Edge("o", "by:customer", "c"), Tok("o", "status", "P"))]
+    return match(_star(spark, sf_dir), atoms).select(_key("c").alias("c_custkey"), "c_name")
 
 
 @book("union_patterns", "SELECT o_orderkey, 'F' AS why FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'LOW' FROM orders WHERE o_orderpriority = '5-LOW'")
 def union_patterns(spark, sf_dir):
     """Branches of a union are a bag."""
-    o = table(spark, sf_dir, "orders")
-    a = o.where("o_orderstatus = 'F'").select("o_orderkey", F.lit("F").alias("why"))
-    return a.unionByName(o.where("o_orderpriority = '5-LOW'").select("o_orderkey", F.lit("LOW").alias("why")))
+    atoms = [Either([Tok("o", "status", "F"), Bind("why", F.lit("F"))], [Tok("o", "priority", "5-LOW"), Bind("why", F.lit("LOW"))])]
+    return match(_star(spark, sf_dir), atoms).select(_key("o").alias("o_orderkey"), "why")
 
 
 @book("construct_concat", "SELECT DISTINCT 'n:' || n_nationkey AS s, 'sold_' || lower(c_mktsegment) AS p, 'r:' || n_regionkey AS o FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def construct_concat(spark, sf_dir):
     """A predicate built from data; constructed edges are a set."""
-    c, n = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct(), table(spark, sf_dir, "nation")
-    j = c.join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-    made = j.select(F.concat(F.lit("n:"), F.col("n_nationkey").cast("string")).alias("s"), F.concat(F.lit("sold_"), F.lower("c_mktsegment")).alias("p"), F.concat(F.lit("r:"), F.col("n_regionkey").cast("string")).alias("o"))
-    return made.distinct()
+    atoms = [Edge("c", "in:nation", "n"), Prop("c", "segment", "segment"), Edge("n", "in:region", "r")]
+    made = construct(_star(spark, sf_dir), atoms, "n", "r", F.concat(F.lit("sold_"), F.lower("segment")))
+    return made.select(F.col("head").alias("s"), F.col("label").alias("p"), F.col("tail").alias("o"))
+
+
+@book("unequal_ends", "SELECT a.c_custkey AS a, b.s_suppkey AS b FROM customer a JOIN supplier b ON a.c_nationkey = b.s_nationkey WHERE a.c_name LIKE '%7' AND 'c:' || a.c_custkey <> 's:' || b.s_suppkey")
+def unequal_ends(spark, sf_dir):
+    """Two variables that meet in a third and must differ."""
+    atoms = [Tok("x", "kind", "customer"), Tok("x", "name", "7$", "regex"), Edge("x", "in:nation", "n"), Edge("y", "in:nation", "n"), Tok("y", "kind", "supplier"), Differ("x", "y")]
+    return match(_star(spark, sf_dir), atoms).select(_key("x").alias("a"), _key("y").alias("b"))
 
 
 def _line_sets(spark, sf_dir):
@@ -125,7 +165,8 @@ def _place_edges(spark, sf_dir):
     return n.unionByName(s).unionByName(c)
 
 
-_TREE = """e(head, tail) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+_TREE = """e(head, tail) AS (SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+   UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
  below(node, under) AS (SELECT DISTINCT x, x FROM (SELECT head AS x FROM e UNION ALL SELECT tail FROM e)
    UNION ALL SELECT b.node, e.tail FROM below b JOIN e ON e.head = b.under)"""
 
@@ -162,26 +203,25 @@ def longest_run(spark, sf_dir):
 
 @book(
     "covering_ancestor",
-    f"""WITH RECURSIVE {_TREE}, c AS (SELECT DISTINCT node, under FROM below), f AS (SELECT DISTINCT 'n' || s_nationkey AS under FROM supplier WHERE s_suppkey < 2 AND s_nationkey IN (SELECT n_nationkey FROM nation)),
-        s AS (SELECT node, count(*) AS size FROM c GROUP BY node), h AS (SELECT node, count(*) AS n FROM c JOIN f ON c.under = f.under GROUP BY node)
-        SELECT 'world' AS tree, h.node, s.size FROM h JOIN s ON s.node = h.node WHERE h.n = (SELECT count(*) FROM f) ORDER BY s.size, h.node DESC LIMIT 1""",
+    f"""WITH RECURSIVE {_TREE}, c AS (SELECT DISTINCT node, under FROM below),
+        f AS (SELECT o_orderkey, 'c' || o_custkey AS under FROM orders UNION SELECT l_orderkey, 's' || l_suppkey FROM lineitem),
+        k AS (SELECT o_orderkey, count(*) AS k FROM f GROUP BY o_orderkey), s AS (SELECT node, count(*) AS size FROM c GROUP BY node),
+        h AS (SELECT f.o_orderkey, c.node, count(*) AS n FROM f JOIN c ON c.under = f.under GROUP BY f.o_orderkey, c.node),
+        r AS (SELECT h.o_orderkey, h.node, s.size, row_number() OVER (PARTITION BY h.o_orderkey ORDER BY s.size, h.node DESC) AS i
+              FROM h JOIN k ON k.o_orderkey = h.o_orderkey AND k.k = h.n JOIN s ON s.node = h.node)
+        SELECT o_orderkey, 'world' AS tree, node, size FROM r WHERE i = 1""",
 )
 def covering_ancestor(spark, sf_dir):
     """Per order, the smallest place over its customer and all its suppliers; orders across regions have none."""
     closure = graph.descendants(_place_edges(spark, sf_dir), ["tree"])
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("below"))
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("below"))
-    focus = o.unionByName(li).distinct()
-    sizes = closure.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size"))
-    hits = focus.join(closure, "below").groupBy("o_orderkey", "tree", "node").agg(F.count(F.lit(1)).alias("n"))
-    k = focus.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("k"))
-    full = hits.join(k, "o_orderkey").where("n = k").join(sizes, ["tree", "node"])
-    # max_by needs an orderable node: larger strings win ties.
-    best = full.groupBy("o_orderkey", "tree").agg(F.max_by(F.struct("node", "size"), F.struct(-F.col("size"), F.col("node"))).alias("x"))
-    return best.select("o_orderkey", "tree", "x.node", "x.size")
-
-
-_SYM = """e AS (SELECT 0 AS place, n_regionkey AS a, 100 + n_nationkey AS b FROM nation UNION ALL SELECT 0, 100 + s_nationkey, 1000 + s_suppkey FROM supplier),
+    tree = F.lit("world").alias("tree")
+    o = table(spark, sf_dir, "orders").select(tree, "o_orderkey", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("below"))
+    li = table(spark, sf_dir, "lineitem").select(tree, F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("below"))
+    return graph.covering(closure, o.unionByName(li), ["tree"], ("o_orderkey",))
+
+
+_SYM = """e AS (SELECT n_regionkey::VARCHAR AS a, (100 + n_nationkey)::VARCHAR AS b, 'has' AS label FROM nation
+   UNION ALL SELECT (100 + s_nationkey)::VARCHAR, (1000 + s_suppkey)::VARCHAR, 'of' FROM supplier UNION ALL SELECT (100 + c_nationkey)::VARCHAR, 'c' || c_custkey, 'of' FROM customer),
  y AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e)"""
 
 
@@ -212,8 +252,7 @@ def paths_len_k(spark, sf_dir):
 
 @book(
     "path_patterns",
-    f"""WITH {_SYM}, l AS (SELECT n_regionkey AS a, 100 + n_nationkey AS b, 'has' AS label, true AS down FROM nation UNION ALL SELECT 100 + s_nationkey, 1000 + s_suppkey, 'of', true FROM supplier),
-       w AS (SELECT a, b, label, down FROM l UNION ALL SELECT b, a, label, false FROM l),
+    f"""WITH {_SYM}, w AS (SELECT a, b, label, true AS down FROM e UNION ALL SELECT b, a, label, false FROM e),
        p AS (SELECT DISTINCT x.a AS a, x.b AS m, z.b AS c, x.label AS l1, x.down AS d1, z.label AS l2, z.down AS d2 FROM w x JOIN w z ON x.b = z.a WHERE z.b <> x.a)
        SELECT array_to_string(list_sort([l1 || CASE WHEN d1 THEN '(_1, _3)' ELSE '(_3, _1)' END, l2 || CASE WHEN d2 THEN '(_3, _2)' ELSE '(_2, _3)' END]), ', ') AS pattern, count(*) AS n
        FROM p GROUP BY 1""",
@@ -226,21 +265,28 @@ def path_patterns(spark, sf_dir):
 
 @book(
     "rule_pairs",
-    """WITH r AS (SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
-       SELECT n_nationkey, n_regionkey, CAST(2 * k - 1 AS INTEGER) AS rule_no, 'isa(E' || n_regionkey || 'S' || n_nationkey || ') -> in' AS rule FROM r
-       UNION ALL SELECT n_nationkey, n_regionkey, CAST(2 * k AS INTEGER), 'in <- isa(E' || n_regionkey || 'S' || n_nationkey || ')' FROM r""",
+    """WITH n AS (SELECT n_nationkey, n_regionkey, 'E' || n_regionkey || 'S' || n_nationkey || '-nation' AS x, 'E' || n_regionkey || 'S' || (1000 + n_regionkey) || '-region' AS y,
+                 n_name, r_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation JOIN region ON n_regionkey = r_regionkey),
+       s AS (SELECT *, 'isa(' || y || ', "' || r_name || '")' AS there FROM n),
+       h AS (SELECT *, 'isa(' || x || ', "' || n_name || '"), in(' || x || ', ' || y || '), ' || there AS here, 'part(' || x || ', ' || y || '), ' AS rel FROM s)
+       SELECT n_nationkey, n_regionkey, CAST(2 * k - 1 AS INTEGER) AS rule_no, 'rule' || (2 * k - 1) || ':: ' || here || ' -> ' || rel || there || '.' AS rule FROM h
+       UNION ALL SELECT n_nationkey, n_regionkey, CAST(2 * k AS INTEGER), 'rule' || (2 * k) || ':: ' || there || ' -> ' || rel || here || '.' FROM h""",
 )
 def rule_pairs(spark, sf_dir):
-    """Two rules per relation, numbered within its place."""
-    from pyspark.sql import Window
-
-    n = table(spark, sf_dir, "nation")
-    name = F.concat(F.lit("isa(E"), F.col("n_regionkey").cast("string"), F.lit("S"), F.col("n_nationkey").cast("string"), F.lit(")"))
-    each = n.select("n_nationkey", "n_regionkey", F.posexplode(F.array(F.concat(name, F.lit(" -> in")), F.concat(F.lit("in <- "), name))).alias("way", "rule"))
-    return each.select("n_nationkey", "n_regionkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey", "way")).alias("rule_no"), "rule")
+    """Two rules per relation, numbered within its place: every nation is part of its region, and in it."""
+    n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    place = [F.lit("world").alias("corpus"), F.col("n_regionkey").alias("sentence_id")]
+    there = (F.col("n_regionkey") + 1000).alias("tail")
+    rels = n.select(*place, F.col("n_nationkey").alias("head"), there, F.lit("part").alias("rel"))
+    preds = n.select(*place, F.col("n_nationkey").alias("node"), F.lit("in").alias("role"), there.alias("arg"))
+    named = n.select(*place, F.col("n_nationkey").alias("node"), F.lit("nation").alias("label"), F.col("n_name").alias("comment"))
+    named = named.unionByName(n.select(*place, there.alias("node"), F.lit("region").alias("label"), F.col("r_name").alias("comment")).distinct())
+    got = rules.inference_rules(rels, named, preds)
+    return got.select(F.col("head").alias("n_nationkey"), F.col("sentence_id").alias("n_regionkey"), "rule_no", "rule")
 
 
 _ROLE = {"click": "agent", "view": "object", "purchase": "arg", "error": "arg"}
+_LABEL = {"click": "nsubj", "view": "dobj", "purchase": "iobj", "error": "advmod"}
 
 
 @book(
@@ -249,37 +295,86 @@ _ROLE = {"click": "agent", "view": "object", "purchase": "arg", "error": "arg"}
         WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 400)""",
 )
 def role_mapping(spark, sf_dir):
-    """Labels to roles by a small literal table; suppressed where a condition holds for the node."""
+    """Users as nodes, events as their arguments, event types as labels; a copula suppresses a node's roles."""
     e = table(spark, sf_dir, "events")
-    m = F.broadcast(spark.createDataFrame(list(_ROLE.items()), "event_type string, role string"))
-    off = e.where("value > 400").select("user_id").distinct()
-    return e.join(m, "event_type").join(off, "user_id", "left_anti").select("event_id", "user_id", "role")
+    label = F.coalesce(*[F.when(F.col("event_type") == k, v) for k, v in _LABEL.items()])
+    place = [F.lit("all").alias("corpus"), F.lit(0).alias("sentence_id"), F.lit("dep").alias("graph"), F.col("user_id").alias("head"), F.col("event_id").alias("tail")]
+    deps = e.select(*place, label.alias("label")).where("label is not null").unionByName(e.where("value > 400").select(*place, F.lit("cop").alias("label")))
+    tokens = e.select(F.lit("all").alias("corpus"), F.lit(0).alias("sentence_id"), F.col("event_id").alias("token_id"), F.lit("NN").alias("pos"))
+    nodes = e.select(F.lit("all").alias("corpus"), F.lit(0).alias("sentence_id"), F.col("user_id").alias("node")).distinct()
+    none = spark.createDataFrame([], "corpus string, sentence_id int, node long, verb string")
+    return rules.roles(GraphTables(tokens, deps), nodes, none).select(F.col("arg").alias("event_id"), F.col("node").alias("user_id"), "role")
 
 
 @book(
     "first_missing_role",
-    """WITH h AS (SELECT user_id, bool_or(event_type = 'click') AS a, bool_or(event_type = 'view') AS b, bool_or(event_type = 'purchase') AS c FROM events WHERE value > 40 GROUP BY user_id)
-       SELECT user_id, CASE WHEN NOT a THEN 'agent' WHEN NOT b THEN 'object' WHEN NOT c THEN 'arg' END AS role FROM h WHERE NOT (a AND b AND c)""",
+    """WITH h AS (SELECT user_id, CAST(ts AS DATE) AS day, bool_or(event_type = 'click') AS a, bool_or(event_type = 'view') AS b, bool_or(event_type = 'purchase') AS c FROM events GROUP BY ALL)
+       SELECT user_id, CAST(day AS VARCHAR) AS day, CASE WHEN NOT a THEN 'agent' WHEN NOT b THEN 'object' WHEN NOT c THEN 'arg' END AS role FROM h WHERE NOT (a AND b AND c)""",
 )
 def first_missing_role(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 40")
+    """For every user and day, the first role that no event of that day fills."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts").cast("string"))
     m = spark.createDataFrame([("click", "agent"), ("view", "object"), ("purchase", "arg"), ("error", "other")], "event_type string, role string")
-    users = e.select("user_id").distinct()
-    place = [F.lit("all").alias("corpus"), F.lit(0).alias("sentence_id")]
+    place = [F.col("day").alias("corpus"), F.lit(0).alias("sentence_id")]
     filled = e.join(F.broadcast(m), "event_type", "left").select(*place, F.col("user_id").alias("node"), "role", F.lit(0).cast("long").alias("arg"))
-    clause = users.select(*place, F.lit(0).cast("long").alias("noun"), F.col("user_id").alias("node"))
-    return rules.first_missing(filled, clause).select(F.col("node").alias("user_id"), "role")
+    clause = e.select(*place, F.lit(0).cast("long").alias("noun"), F.col("user_id").alias("node")).distinct()
+    return rules.first_missing(filled, clause).select(F.col("node").alias("user_id"), F.col("corpus").alias("day"), "role")
 
 
 @book(
     "label_text",
-    """SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS label, string_agg(string_split(text, chr(10))[1], ' ' ORDER BY turn) AS comment FROM conversations GROUP BY conv_id""",
+    """SELECT conv_id, max(CASE WHEN turn = 0 THEN role END) AS label, string_agg(text, ' ' ORDER BY turn) AS comment FROM conversations GROUP BY conv_id""",
 )
 def label_text(spark, sf_dir):
-    """Whole texts of a node's parts in order, next to its label."""
+    """Conversations as sentences: the first turn is a node with a role, every later turn hangs on it."""
+    c = table(spark, sf_dir, "conversations")
+    place = [F.lit("all").alias("corpus"), F.col("conv_id").alias("sentence_id")]
+    tokens = c.select(*place, F.col("turn").alias("token_id"), "text", F.col("role").alias("lemma"))
+    first = F.lit(0).cast("long")
+    deps = c.where("turn > 0").select(*place, F.lit("basic").alias("graph"), first.alias("head"), F.col("turn").alias("tail"), F.lit("parataxis").alias("label"))
+    preds = c.select(*place, first.alias("node"), F.lit("agent").alias("role"), first.alias("arg")).distinct()
+    rels = spark.createDataFrame([], "corpus string, sentence_id long, head long, tail long, rel string")
+    none = spark.createDataFrame([], "corpus string, sentence_id long, node long, verb string")
+    got = rules.labels(GraphTables(tokens, deps), preds, rels, none)
+    return got.select(F.col("sentence_id").alias("conv_id"), "label", "comment")
+
+
+# Edges of a turn's words by their place: the label of word i hangs it on word i // 2.
+_KINDS = ("amod", "ccomp", "advmod", "conj", "det", "aux", "nn", "cc", "prep", "auxpass", "rcmod")
+
+
+def _pick(at: str) -> str:
+    return "CASE " + " ".join(f"WHEN {at} % {len(_KINDS)} = {i} THEN '{k}'" for i, k in enumerate(_KINDS)) + " END"
+
+
+@book(
+    "constituent_text",
+    f"""WITH RECURSIVE w AS (SELECT conv_id, turn, unnest(string_split_regex(trim(text), '[ \t\n\r\f]+')) AS word, unnest(range(1, len(string_split_regex(trim(text), '[ \t\n\r\f]+')) + 1)) AS i FROM conversations),
+        e AS (SELECT conv_id, turn, i, i // 2 AS up, {_pick('i')} AS label FROM w WHERE i > 1),
+        d AS (SELECT conv_id, turn, up AS top, i FROM e WHERE (up = 1 AND label NOT IN ({', '.join(map(repr, rules.NOT_IN_VERB))})) OR (up = 2 AND label NOT IN ({', '.join(map(repr, rules.NOT_IN_ARG))}))
+          UNION ALL SELECT d.conv_id, d.turn, d.top, e.i FROM d JOIN e ON e.conv_id = d.conv_id AND e.turn = d.turn AND e.up = d.i),
+        a AS (SELECT conv_id, turn, top, i FROM d UNION ALL SELECT conv_id, turn, i, i FROM w WHERE i <= 2)
+        SELECT a.conv_id, a.turn, CAST(a.top AS INTEGER) AS node, (SELECT lower(x.word) FROM w x WHERE x.conv_id = a.conv_id AND x.turn = a.turn AND x.i = a.top) AS label,
+               string_agg(w.word, ' ' ORDER BY a.i) AS comment
+        FROM a JOIN w ON w.conv_id = a.conv_id AND w.turn = a.turn AND w.i = a.i GROUP BY a.conv_id, a.turn, a.top""",
+)
+def constituent_text(spark, sf_dir):
+    """Words of a turn as a tree: texts of its root as a verb and of its second word as an argument, with
+    the edges left out that either does not follow from its own node."""
     c = table(spark, sf_dir, "conversations")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.col("text").alias("t")))), lambda x: x["t"]), " ")
-    return c.groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("role"))).alias("label"), text.alias("comment"))
+    word = F.split(F.trim("text"), "[ \\t\\n\\r\\f]+")
+    place = [F.col("conv_id").cast("string").alias("corpus"), F.col("turn").alias("sentence_id")]
+    w = c.select(*place, F.posexplode(word).alias("n", "text")).withColumn("token_id", F.col("n") + 1)
+    tokens = w.select(*PLACE, "token_id", "text", F.lower("text").alias("lemma"))
+    i = F.col("token_id")
+    label = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), i % len(_KINDS) + 1)
+    deps = w.where("token_id > 1").select(*PLACE, F.lit("basic").alias("graph"), F.floor(i / 2).cast("int").alias("head"), i.alias("tail"), label.alias("label"))
+    preds = w.where("token_id = 2").select(*PLACE, F.lit(1).alias("node"), F.lit("object").alias("role"), i.alias("arg"))
+    rels = w.where("token_id = 1").select(*PLACE, i.alias("head"), i.alias("tail"), F.lit("r").alias("rel"))
+    none = spark.createDataFrame([], "corpus string, sentence_id long, node int, verb string")
+    # One-word turns have no argument; their word is an end of a relation.
+    got = rules.labels(GraphTables(tokens, deps), preds, rels, none)
+    return got.select(F.col("corpus").cast("long").alias("conv_id"), F.col("sentence_id").alias("turn"), "node", "label", "comment")
 
 
 @book("relation_rules_surrogate")
@@ -290,6 +385,21 @@ def relation_rules_surrogate(spark, sf_dir):
     return rules.relations(g).select(*PLACE, "head", "tail", "rel", "rule_id")
 
 
+@book("question_rules")
+def question_rules(spark, sf_dir):
+    """Every document as a question about the words at the start of its text, over surrogate parses."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    g = annotate.surrogate(annotate.sentences(docs, "text", "doc_id"))
+    focus = docs.select(F.col("doc_id").cast("string").alias("corpus"), F.array_join(F.slice(F.split(F.trim("text"), "[ \\t\\n\\r\\f]+"), 1, 2), " ").alias("focus"))
+    rels = rules.relations(g)
+    none = spark.createDataFrame([], "corpus string, sentence_id int, node int, verb string")
+    ends = rels.select(*PLACE, F.col("head").alias("node")).unionByName(rels.select(*PLACE, F.col("tail").alias("node")))
+    preds = rules.roles(g, ends, none)
+    # the focus may be any token, so every token has a name
+    named = g.tokens.select(*PLACE, F.col("token_id").alias("node"), F.col("lemma").alias("label"), F.col("text").alias("comment"))
+    return rules.question_rules(g, rels, named, preds, focus)
+
+
 @book("pattern_arguments")
 def pattern_arguments(spark, sf_dir):
     """A mined path pattern compiled to joins over surrogate parses (rows only)."""

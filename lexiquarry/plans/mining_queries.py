@@ -46,10 +46,35 @@ def two_field_search(spark, sf_dir):
     return search.search(p, {"ask": "the", "answer": "the"}, 50, "conv_id", "answer").select("conv_id", "score")
 
 
+@book(
+    "quoted_search",
+    f"""WITH s AS (SELECT doc_id, text, round(sqrt({_hits('text', 'and the')}::DOUBLE / len({_TOK.format('text')})::DOUBLE), 6) AS score FROM documents WHERE {_hits('text', 'and the')} > 0),
+        k AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 100), d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, doc_id) AS n FROM k)
+        SELECT doc_id, score FROM d WHERE n = 1""",
+)
+def quoted_search(spark, sf_dir):
+    """Quotes, punctuation and case of a phrase do not matter."""
+    return search.search(table(spark, sf_dir, "documents"), {"text": '"And, the"'}, 100, "doc_id", "text").select("doc_id", "score")
+
+
+@book(
+    "rarity_search",
+    f"""WITH n AS (SELECT count(*) AS total, count(*) FILTER ({_hits('text', 'the')} > 0) AS a, count(*) FILTER ({_hits('source', 'src3')} > 0) AS b FROM documents),
+        s AS (SELECT doc_id, text, round((1 + ln(total / (a + 1.0::DOUBLE))) ** 2 * sqrt({_hits('text', 'the')}::DOUBLE / len({_TOK.format('text')})::DOUBLE)
+                                       + (1 + ln(total / (b + 1.0::DOUBLE))) ** 2 * sqrt({_hits('source', 'src3')}::DOUBLE / len({_TOK.format('source')})::DOUBLE), 6) AS score
+              FROM documents, n WHERE {_hits('text', 'the')} > 0 AND {_hits('source', 'src3')} > 0),
+        k AS (SELECT * FROM s ORDER BY score DESC, doc_id LIMIT 100), d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY score DESC, doc_id) AS n FROM k)
+        SELECT doc_id, score FROM d WHERE n = 1""",
+)
+def rarity_search(spark, sf_dir):
+    """Two fields, each weighed by how rare its phrase is."""
+    return search.search(table(spark, sf_dir, "documents"), {"text": "the", "source": "src3"}, 100, "doc_id", "text", rarity=True).select("doc_id", "score")
+
+
 @book(
     "inverted_index",
-    f"""WITH t AS (SELECT item_id, {_TOK.format('text')} AS ws FROM benchmark), u AS (SELECT item_id, unnest(ws) AS term, CAST(unnest(range(len(ws))) AS INTEGER) AS pos FROM t)
-        SELECT term, 'text' AS field, item_id AS doc_id, array_to_string(list_sort(list(pos)), ' ') AS positions FROM u GROUP BY term, item_id""",
+    f"""WITH t AS (SELECT doc_id, {_TOK.format('text')} AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS term, CAST(unnest(range(len(ws))) AS INTEGER) AS pos FROM t)
+        SELECT term, 'text' AS field, doc_id, array_to_string(list_sort(list(pos)), ' ') AS positions FROM u GROUP BY term, doc_id""",
 )
 def inverted_index(spark, sf_dir):
     """Every term of the corpus, with its places in each document."""
@@ -130,7 +155,7 @@ def top_per_group(spark, sf_dir):
 @book(
     "pattern_frequency",
     """WITH s AS (SELECT o_orderpriority AS disrel, array_to_string(list_sort(list(DISTINCT p_brand)), '|') AS pattern, o_orderkey
-         FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_linenumber <= 1 GROUP BY o_orderkey, o_orderpriority)
+         FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey, o_orderpriority)
        SELECT disrel, pattern, count(*) AS n FROM s GROUP BY disrel, pattern""",
 )
 def pattern_frequency(spark, sf_dir):
@@ -151,6 +176,59 @@ def pattern_share(spark, sf_dir):
     return search.phrase_frequency(rows).withColumn("share", F.round("share", 9))
 
 
+@book(
+    "phrase_in_corpus",
+    f"""WITH c AS (SELECT p_type AS disrel, lower(p_name) AS kp, count(*) AS n FROM part GROUP BY 1, 2), w AS (SELECT DISTINCT kp FROM c),
+        o AS (SELECT lower(p_name) AS kp, count(*) AS corpus_n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1), j AS (SELECT c.*, coalesce(corpus_n, 0) AS corpus_n FROM c LEFT JOIN o USING (kp))
+        SELECT disrel, kp, n, round(n / sum(n) OVER (PARTITION BY disrel), 9) AS share, corpus_n, round(corpus_n / sum(corpus_n) OVER (PARTITION BY disrel), 9) AS corpus_share FROM j""",
+)
+def phrase_in_corpus(spark, sf_dir):
+    """Phrases per relation with their share, and with the share of their occurrences in the orders."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("disrel"), F.lower("p_name").alias("kp"))
+    sold = table(spark, sf_dir, "lineitem").select("l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey")).select("kp")
+    got = search.phrase_frequency(p, sold)
+    return got.withColumns({c: F.round(c, 9) for c in ("share", "corpus_share")})
+
+
+@book(
+    "pattern_rendering",
+    """SELECT o_orderkey, 'dep(a,"by",b), dep(a,"is ' || o_orderstatus || '",c)' || CASE WHEN o_custkey % 2 = 0 THEN ', dep(b,"even",b)' ELSE '' END AS pattern FROM orders""",
+)
+def pattern_rendering(spark, sf_dir):
+    """Steps between an order, its customer and its status, with variables for the ends."""
+    o = table(spark, sf_dir, "orders")
+    step = lambda a, label, b: F.struct(a.alias("head"), label.alias("label"), b.alias("tail"))
+    order, customer = F.concat(F.lit("o"), F.col("o_orderkey").cast("string")), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    steps = F.array(step(order, F.lit("by"), customer), step(order, F.concat(F.lit("is "), "o_orderstatus"), F.col("o_orderstatus")))
+    steps = F.when(F.col("o_custkey") % 2 == 0, F.concat(steps, F.array(step(customer, F.lit("even"), customer)))).otherwise(steps)
+    return o.select("o_orderkey", search.render_pattern(steps).alias("pattern"))
+
+
+@book(
+    "sentence_search",
+    f"""WITH c AS (SELECT doc_id, text AS sen, ' ' || array_to_string({_TOK.format('text')}, ' ') || ' ' AS t FROM documents),
+        p AS (SELECT DISTINCT {_TOK.format('text')}[1] AS arg1, {_TOK.format('text')}[2] || ' ' || {_TOK.format('text')}[3] AS arg2 FROM benchmark)
+        SELECT arg1, arg2, doc_id FROM p, c WHERE contains(t, ' ' || arg1 || ' ') AND contains(t, ' ' || arg2 || ' ')""",
+)
+def sentence_search(spark, sf_dir):
+    """Documents that hold the first word of a benchmark item and its next two."""
+    t = search.tokens(F.col("text"))
+    b = table(spark, sf_dir, "benchmark").select(F.get(t, F.lit(0)).alias("arg1"), F.array_join(F.slice(t, 2, 2), " ").alias("arg2"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("sen"))
+    return search.sentence_search(b, d, "doc_id").drop("sen")
+
+
+@book(
+    "sentence_lookup",
+    "SELECT n_nationkey, s_suppkey FROM nation JOIN supplier ON lower(n_name) = 'nation_' || s_nationkey",
+)
+def sentence_lookup(spark, sf_dir):
+    """Exact lookup by two arguments, whatever their case."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("arg1"), F.lit("Supplier").alias("arg2"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("nation_"), F.col("s_nationkey").cast("string")).alias("arg1"), F.lit("supplier").alias("arg2"))
+    return search.sentences_of(n, s).select("n_nationkey", "s_suppkey")
+
+
 @book(
     "sentence_check",
     """WITH s AS (SELECT conv_id, turn, text || ': and the of' AS sen, CASE WHEN turn % 2 = 0 THEN 'The' ELSE 'un' END AS a, CASE WHEN turn % 3 = 0 THEN 'of' ELSE 'de' END AS b FROM conversations),
@@ -165,14 +243,14 @@ def sentence_check(spark, sf_dir):
 
 @book(
     "query_sanity",
-    """WITH w AS (SELECT conv_id, turn, string_split(text, ' ')[1] AS q FROM conversations UNION ALL SELECT conv_id, turn, 'A man' FROM conversations)
+    """WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS q FROM conversations UNION ALL SELECT conv_id, turn, 'A man' FROM conversations)
        SELECT conv_id, turn, q FROM w WHERE NOT regexp_matches(q, '[^A-Za-z ''\\-]') AND length(trim(q)) > 1 AND lower(trim(q)) <> 'a man'""",
 )
 def query_sanity(spark, sf_dir):
     from lexiquarry.functions.text import sane_query
 
     c = table(spark, sf_dir, "conversations")
-    q = c.select("conv_id", "turn", F.split("text", " ")[0].alias("q")).unionByName(c.select("conv_id", "turn", F.lit("A man").alias("q")))
+    q = c.select("conv_id", "turn", F.explode(F.split("text", " ")).alias("q")).unionByName(c.select("conv_id", "turn", F.lit("A man").alias("q")))
     return q.where(sane_query(F.col("q")))
 
 
@@ -213,9 +291,10 @@ _WORDS = "list_filter(string_split_regex({0}, '[ \\t\\n\\r\\f]+'), lambda w: w <
 
 @book(
     "numeric_features",
-    f"""WITH w AS (SELECT d.doc_id, {_WORDS.format('d.text')} AS ws, {_WORDS.format('lower(d.text)')} AS lw FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-        b AS (SELECT {_WORDS.format('lower(text)')} AS bw FROM benchmark WHERE item_id = 0)
-        SELECT doc_id, round(CASE WHEN len(ws) > 0 THEN ln(len(ws)) ELSE 0 END, 6) AS log_length, round(ln(len(list_intersect(list_distinct(lw), bw)) + 1), 6) AS log_overlap FROM w, b""",
+    f"""WITH d AS (SELECT doc_id, {_WORDS.format('text')} AS ws, list_distinct({_WORDS.format('lower(text)')}) AS lw FROM documents JOIN labels USING (doc_id)),
+        w AS (SELECT doc_id, unnest(lw) AS word FROM d), b AS (SELECT item_id, unnest(list_distinct({_WORDS.format('lower(text)')})) AS word FROM benchmark),
+        p AS (SELECT doc_id, item_id, count(*) AS n FROM w JOIN b USING (word) GROUP BY doc_id, item_id)
+        SELECT doc_id, item_id, round(CASE WHEN len(ws) > 0 THEN ln(len(ws)) ELSE 0 END, 6) AS log_length, round(ln(coalesce(n, 0) + 1), 6) AS log_overlap FROM d LEFT JOIN p USING (doc_id)""",
 )
 def numeric_features(spark, sf_dir):
     """Every labelled document with each benchmark item it shares words with; once without item if there is none."""

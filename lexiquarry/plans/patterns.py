@@ -6,6 +6,9 @@ partitioning on these two columns for all of them.
 
     Edge("x", "dobj", "y")              x has a 'dobj' edge to y (several labels: alternatives)
     Tok("x", "lemma", "must")           a property of x; ops: eq, ne, prefix, not_prefix, regex, not_regex, in
+    Prop("x", "name", "n")              a column n with a property of x, which x must have
+    Bind("why", F.lit("F"))             a column computed from the others
+    Differ("x", "y")                    two variables have different values
     Not(Edge("p", "rcmod", "x"))        no such match exists
     Either([..atoms..], [..atoms..])    union of branches
 """
@@ -50,6 +53,25 @@ class Tok:
     op: str = "eq"
 
 
+@dataclass(frozen=True)
+class Prop:
+    var: str
+    prop: str
+    name: str
+
+
+@dataclass(frozen=True)
+class Bind:
+    name: str
+    value: Column
+
+
+@dataclass(frozen=True)
+class Differ:
+    a: str
+    b: str
+
+
 class Not:
     def __init__(self, *atoms):
         self.atoms = atoms
@@ -88,11 +110,13 @@ def _edge(g: GraphTables, e: Edge) -> DataFrame:
     return rows.select(*cols, F.col("label").alias(e.keep)) if e.keep else rows.select(*cols).distinct() if "|" in e.labels or "*" in e.labels else rows.select(*cols)
 
 
-def _tokens(g: GraphTables, var: str, tests: list[Tok]) -> DataFrame:
+def _tokens(g: GraphTables, var: str, tests: list[Tok], props: list[Prop] = ()) -> DataFrame:
     cond = F.lit(True)
     for t in tests:
         cond = cond & _test(t)
-    return g.tokens.where(cond).select(*PLACE, F.col("token_id").alias(var))
+    for p in props:
+        cond = cond & F.col(p.prop).isNotNull()
+    return g.tokens.where(cond).select(*PLACE, F.col("token_id").alias(var), *[F.col(p.prop).alias(p.name) for p in props])
 
 
 def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -104,22 +128,26 @@ def _join(left: DataFrame | None, right: DataFrame, how: str = "inner") -> DataF
 def match(g: GraphTables, atoms, bound: DataFrame | None = None) -> DataFrame:
     """All bindings of the variables in ``atoms``: (corpus, sentence_id, variables..)."""
     tests: dict[str, list[Tok]] = {}
+    props: dict[str, list[Prop]] = {}
     for a in atoms:
-        if isinstance(a, Tok):
-            tests.setdefault(a.var, []).append(a)
+        if isinstance(a, (Tok, Prop)):
+            tests.setdefault(a.var, []).extend([a] if isinstance(a, Tok) else [])
+        if isinstance(a, Prop):
+            props.setdefault(a.var, []).append(a)
     out = bound
     # Constant lookups first: they are the selective side.
     for var, own in sorted(tests.items(), key=lambda x: not any(t.op == "eq" for t in x[1])):
         if bound is None or var not in bound.columns:
             if out is None and any(t.op == "eq" and t.prop != "pos" for t in own):
-                out = _tokens(g, var, own)
+                out = _tokens(g, var, own, props.pop(var, []))
                 tests[var] = []
     for a in atoms:
         if isinstance(a, Edge):
             out = _join(out, _edge(g, a))
     for var, own in tests.items():
-        if own:
-            out = _join(out, _tokens(g, var, own), "left_semi" if out is not None and var in out.columns else "inner")
+        wanted = props.get(var, [])
+        if own or wanted:
+            out = _join(out, _tokens(g, var, own, wanted), "left_semi" if out is not None and var in out.columns and not wanted else "inner")
     for a in atoms:
         if isinstance(a, Either):
             branches = [match(g, b, out) for b in a.branches]
@@ -127,6 +155,11 @@ def match(g: GraphTables, atoms, bound: DataFrame | None = None) -> DataFrame:
             out = branches[0].select(*names)
             for b in branches[1:]:
                 out = out.unionByName(b.select(*names))
+    for a in atoms:
+        if isinstance(a, Bind):
+            out = out.withColumn(a.name, a.value)
+        if isinstance(a, Differ):
+            out = out.where(F.col(a.a) != F.col(a.b))
     for a in atoms:
         if isinstance(a, Not):
             other = match(g, a.atoms)
@@ -155,5 +188,5 @@ def parse_path(pattern: str, graph: str = "basic") -> tuple[str, list[Edge]]:
 def path_candidates(g: GraphTables, pattern: str, graph: str = "basic") -> DataFrame:
     """(corpus, sentence_id, rel, arg1, arg2): what a mined path pattern binds _1 and _2 to."""
     rel, atoms = parse_path(pattern, graph)
-    m = match(g, atoms)
-    return m.where("v1 <> v2").select(*PLACE, F.lit(rel).alias("rel"), F.col("v1").alias("arg1"), F.col("v2").alias("arg2")).distinct()
+    m = match(g, [*atoms, Differ("v1", "v2")])
+    return m.select(*PLACE, F.lit(rel).alias("rel"), F.col("v1").alias("arg1"), F.col("v2").alias("arg2")).distinct()

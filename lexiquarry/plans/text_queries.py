@@ -236,12 +236,12 @@ def readable_report(spark, sf_dir):
     return sinks.readable(_facts(spark, sf_dir))
 
 
-# Surrogate tokens of a turn's first line (the query takes every line): arg1, rel and arg2s by position.
+# Surrogate tokens of every line of a turn: arg1, rel and arg2s by position.
 _TAGS = " ".join(f"WHEN lower(w) IN ({', '.join(repr(x) for x in ws.split())}) THEN '{pos}'" for pos, ws in annotate.LEXICON.items())
 _TOKENS = f"""
-  l AS (SELECT conv_id, turn, string_split(text, chr(10))[1] AS line FROM conversations),
-  w AS (SELECT conv_id, turn, list_filter(string_split_regex(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS ws FROM l),
-  t AS (SELECT conv_id, turn, ws, list_transform(ws, lambda w: CASE WHEN NOT regexp_matches(w, '[A-Za-z0-9]') THEN '.' {_TAGS}
+  l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no FROM conversations),
+  w AS (SELECT conv_id, turn, line_no, list_filter(string_split_regex(line, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS ws FROM l),
+  t AS (SELECT conv_id, turn, line_no, ws, list_transform(ws, lambda w: CASE WHEN NOT regexp_matches(w, '[A-Za-z0-9]') THEN '.' {_TAGS}
           WHEN regexp_matches(w, '^[0-9.,]+$') THEN 'CD' WHEN lower(w) LIKE '%ing' THEN 'VBG' WHEN lower(w) LIKE '%ed' THEN 'VBD' WHEN lower(w) LIKE '%ly' THEN 'RB'
           WHEN regexp_matches(lower(w), '(ous|ful|ive|able|al)$') THEN 'JJ' WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' WHEN lower(w) LIKE '%s' THEN 'NNS' ELSE 'NN' END) AS ps
         FROM w WHERE len(ws) >= 6)"""
@@ -286,7 +286,7 @@ _FEATURE_NAME = {
 }
 
 
-@book("token_features", f"WITH {_TOKENS} SELECT conv_id, turn, {', '.join(f'CAST({s} AS DOUBLE) AS {k}' for k, s in _FEATURE_SQL.items())} FROM t")
+@book("token_features", f"WITH {_TOKENS} SELECT conv_id, turn, line_no, {', '.join(f'CAST({s} AS DOUBLE) AS {k}' for k, s in _FEATURE_SQL.items())} FROM t")
 def token_features(spark, sf_dir):
     f = definition_features()
     return _tagged(spark, sf_dir).select("conv_id", "turn", "line_no", *[f[n].alias(k) for k, n in _FEATURE_NAME.items()])
@@ -294,8 +294,8 @@ def token_features(spark, sf_dir):
 
 @book(
     "logistic_score",
-    f"""WITH {_TOKENS}, f AS (SELECT conv_id, turn, {', '.join(f'CAST({s} AS DOUBLE) AS {k}' for k, s in _FEATURE_SQL.items())} FROM t)
-        SELECT conv_id, turn, round(1 / (1 + exp(-(-1.7849105806514818 + 1.3156797196216592 - 1.179126526712237 - 0.3110058835172233 * arg1_proper - 19.369759988810635 * equal
+    f"""WITH {_TOKENS}, f AS (SELECT conv_id, turn, line_no, {', '.join(f'CAST({s} AS DOUBLE) AS {k}' for k, s in _FEATURE_SQL.items())} FROM t)
+        SELECT conv_id, turn, line_no, round(1 / (1 + exp(-(-1.7849105806514818 + 1.3156797196216592 - 1.179126526712237 - 0.3110058835172233 * arg1_proper - 19.369759988810635 * equal
           - 4.44341733258207 * blacklisted + 2.0116032326487256 * arg2s_noun + 0.38164715354550843 * arg2s_proper - 0.5285279758657727 * or_before
           + 1.3231318516426451 * rel_vbz + 16.167013015487424 * rel_verb + 0.6596866166826654 * short - 0.6098126269434833 * long))), 6) AS confidence FROM f""",
 )

@@ -51,7 +51,7 @@ def spread(df):
 
 
 def cut(df):
-    """``df`` computed once: checkpointed where a checkpoint folder is set, else persisted (memory, then disk)."""
-    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return df.checkpoint()
-    return df.persist()
+    """``df`` computed once, now: written below the shared folder and read again."""
+    from lexiquarry.scratch import materialize
+
+    return materialize(df, "cut")

@@ -13,7 +13,10 @@ def text(df: DataFrame, path: str, line: str = "line") -> None:
 
 
 def commit_dataset(outputs: dict[str, DataFrame], root: str) -> None:
-    """All outputs of a dataset or none: written to a staging folder that is renamed at the end."""
+    """All outputs of a dataset or none: written to a staging folder that is renamed at the end.
+
+    The former dataset is moved aside first and goes last, so a crash between never loses both.
+    """
     spark = next(iter(outputs.values())).sparkSession
     stage = f"{root.rstrip('/')}._staging_{uuid.uuid4().hex}"
     for name, df in outputs.items():
@@ -21,10 +24,16 @@ def commit_dataset(outputs: dict[str, DataFrame], root: str) -> None:
     jvm = spark.sparkContext._jvm
     src, dst = jvm.org.apache.hadoop.fs.Path(stage), jvm.org.apache.hadoop.fs.Path(root)
     fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(dst):
-        fs.delete(dst, True)
+    old = jvm.org.apache.hadoop.fs.Path(f"{stage}_old")
+    replaced = fs.exists(dst)
+    if replaced and not fs.rename(dst, old):
+        raise OSError(f"cannot move {root} aside")
     if not fs.rename(src, dst):
+        if replaced:
+            fs.rename(old, dst)
         raise OSError(f"cannot move {stage} to {root}")
+    if replaced:  # only now is the former dataset not needed any more
+        fs.delete(old, True)
 
 
 def escape(c: Column) -> Column:

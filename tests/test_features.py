@@ -45,14 +45,14 @@ def test_score(spark):
 
 
 def test_cascade():
-    got = K.first_with_facts("Ear", "The ear is the organ that can hear sound.")
-    assert ("DefinedTerm", "", "", "ear", "") in got and ("IsA", "ear", "isa", "organ", "") in got
-    got = K.first_with_facts("Acid", "An acid is a famous liquid with a number of hydrogen ions.")
-    assert {("IsA", "acid", "isa", "liquid", ""), ("IsA", "acid", "isa", "famous liquid", ""), ("Quality", "acid", "is", "famous", "")} <= set(got)
+    got = K.first_with_facts("Gill", "The gill is the organ that can filter water.")
+    assert ("DefinedTerm", "", "", "gill", "") in got and ("IsA", "gill", "isa", "organ", "") in got
+    got = K.first_with_facts("Brine", "A brine is a famous liquid with a number of sodium grains.")
+    assert {("IsA", "brine", "isa", "liquid", ""), ("IsA", "brine", "isa", "famous liquid", ""), ("Quality", "brine", "is", "famous", "")} <= set(got)
     assert any(x[0] == "Property" for x in got)
-    got = K.first_with_facts("Acceleration", "In physics, acceleration is the rate of change of velocity with time.")
-    assert ("Context", "acceleration", "", "physics", "") in got and ("IsA", "acceleration", "isa", "rate of change of velocity", "") in got
-    assert K.first_with_facts("drought", "a serious period of months")[0] == ("DefinedTerm", "", "", "drought", "")  # second form
+    got = K.first_with_facts("Slope", "In masonry, slope is the ratio of rise of ground to length.")
+    assert ("Context", "slope", "", "masonry", "") in got and ("IsA", "slope", "isa", "ratio of rise of ground", "") in got
+    assert K.first_with_facts("harvest", "a golden period of weeks")[0] == ("DefinedTerm", "", "", "harvest", "")  # second form
 
 
 def test_matcher_backtracks_and_does_not_overlap():
@@ -93,8 +93,8 @@ def test_stream(spark, tmp_path):
 
     src = tmp_path / "in"
     src.mkdir()
-    (src / "a.txt").write_text("ear\tnoun\t# An 'ear' hears; a part.\nrun\tverb\tto go\nbad line\n")
+    (src / "a.txt").write_text("gill\tnoun\t# A 'gill' breathes; a part.\nrun\tverb\tto go\nbad line\n")
     q = definition_stream(spark, str(src), ["NOUN"]).writeStream.format("memory").queryName("defs").option("checkpointLocation", str(tmp_path / "cp")).start()
     q.processAllAvailable()
     q.stop()
-    assert sorted(r.part for r in spark.table("defs").collect()) == ["An ear hears", "a part."]
+    assert sorted(r.part for r in spark.table("defs").collect()) == ["A gill breathes", "a part."]

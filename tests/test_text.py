@@ -7,19 +7,19 @@ from lexiquarry.sources import readers, sinks
 from pyspark.sql import functions as F
 
 CASES = [
-    ("# On the other side.", ["On the other side."], []),
-    ("An 'acre' is an imperial measure of area.", ["An acre is an imperial measure of area."], []),
-    ("An 'addict' is someone who is 'addicted to' it.", ["An addict is someone who is addicted to it."], []),
-    ("In the shape of a horse's head.", ["In the shape of a horse's head."], []),
-    ("{{countable}} An 'act' is a law.", ["An act is a law."], ["countable"]),
-    ("# A 'k' is small. {{synonyms|a|b}}", ["A k is small."], ["synonyms|a|b"]),
-    ("{{UK}} {{uncountable}} 'Amber' is the light.", ["Amber is the light."], ["UK", "uncountable"]),
-    ("('numbers') Close to ()", ["Close to"], []),
-    ("#{{context|music}} ; {{countable}} A 'keyboard' has keys (buttons) on it.", ["A keyboard has keys  on it."], ["context|music", "countable"]),
-    ("({{P+NP}}, 'after' &amp; {{P-comp}}) If A is 'above' B, fine.", ["If A is above B, fine."], ["P+NP", "P-comp"]),
-    ("Straying from the course; wandering.", ["Straying from the course", "wandering."], []),
-    ("#{{plural of|khaki}}", [], ["plural of|khaki"]),
-    ("The bullfrog '' is large.", ["The bullfrog  is large."], []),
+    ("# Beyond the last bridge.", ["Beyond the last bridge."], []),
+    ("A 'gantry' is a frame over a track.", ["A gantry is a frame over a track."], []),
+    ("A 'tinker' is one who is 'drawn to' repairs.", ["A tinker is one who is drawn to repairs."], []),
+    ("With the colour of a plum's skin.", ["With the colour of a plum's skin."], []),
+    ("{{plural}} A 'reef' is a ridge.", ["A reef is a ridge."], ["plural"]),
+    ("# A 'q' is round. {{see|m|n}}", ["A q is round."], ["see|m|n"]),
+    ("{{IE}} {{rare}} 'Dulse' is a red weed.", ["Dulse is a red weed."], ["IE", "rare"]),
+    ("('rates') Up to ()", ["Up to"], []),
+    ("#{{field|ships}} ; {{plural}} A 'winch' has drums (reels) on it.", ["A winch has drums  on it."], ["field|ships", "plural"]),
+    ("({{A+B}}, 'under' &amp; {{B-end}}) If M is 'under' N, so be it.", ["If M is under N, so be it."], ["A+B", "B-end"]),
+    ("Turning off a road; losing one's way.", ["Turning off a road", "losing one's way."], []),
+    ("#{{plural of|gantry}}", [], ["plural of|gantry"]),
+    ("The heron '' is grey.", ["The heron  is grey."], []),
     ("A 'b' 'c' d", ["A b 'c' d"], []),
     ("&amp;lt;x&amp;gt;", ["<x>"], []),
 ]
@@ -47,8 +47,8 @@ def test_runs_and_numbering(spark):
 def test_readers(spark, tmp_path):
     lines = lambda *x: spark.createDataFrame([("s", i, t) for i, t in enumerate(x)], "source string, line_no int, line string")
     assert readers.tab_dictionary(lines("a\tnoun\tdef\tx", "bad\tline")).select("term", "definition").collect() == [("a", "def")]
-    got = readers.tagged_dictionary(lines('7\t"<acid> <_noun> <_wiki> A sour thing."', "8\tno tags")).collect()
-    assert [(r.term, r.word_class, r.dictionary, r.definition) for r in got] == [("acid", "noun", "wiki", "A sour thing.")]
+    got = readers.tagged_dictionary(lines('7\t"<reef> <_noun> <_book> A long ridge."', "8\tno tags")).collect()
+    assert [(r.term, r.word_class, r.dictionary, r.definition) for r in got] == [("reef", "noun", "book", "A long ridge.")]
     row = "\t".join(f"f{k}" for k in range(31))
     assert [(r.arg1, r.kp, r.arg2, r.sen) for r in readers.strided(lines(row, "short")).collect()] == [("f9", "f10", "f11", "f15"), ("f21", "f22", "f23", "f27")]
     assert readers.id_sentences(lines("1\tx", "2")).count() == 1
@@ -92,8 +92,8 @@ def test_post_filter_and_lookup(spark):
     rows = [("x", "IsA", "X", 0), ("x", "IsA", "someone", 0), ("x", "IsA", "part", 0), ("x", "IsA", "part", 1), ("x", "Quality", "x", 0), ("x", "IsA", "y", 0)]
     got = post_filter(spark.createDataFrame(rows, "agent string, rel_type string, obj string, n_modifiers int")).collect()
     assert sorted((r.rel_type, r.obj) for r in got) == [("IsA", "part"), ("IsA", "person"), ("IsA", "y"), ("Quality", "x")]
-    facts = spark.createDataFrame([("abacus", "noun", "w", "d", "f2"), ("abacus", "noun", "w", "d", "f1"), ("b", "noun", "w", "d", "f")], "term string, word_class string, source string, alternate_definition string, fact string")
-    assert [r.extractions for r in lookup(facts, " Abacus ").collect()] == [["f1", "f2"]]
+    facts = spark.createDataFrame([("gantry", "noun", "w", "d", "f2"), ("gantry", "noun", "w", "d", "f1"), ("b", "noun", "w", "d", "f")], "term string, word_class string, source string, alternate_definition string, fact string")
+    assert [r.extractions for r in lookup(facts, " Gantry ").collect()] == [["f1", "f2"]]
 
 
 def test_small_functions(spark):
