@@ -6,13 +6,10 @@ folder the cluster names in ``spark.checkpoint.dir`` so that a lost executor cos
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexiquarry.scratch import discard, materialize, scratch_root  # noqa: F401  (operators take them from here)
 from lexiquarry.session import ship
 
 #: Most rows of a table that is sent to every executor by a broadcast join (checked, never assumed).
@@ -21,49 +18,6 @@ BROADCAST_ROWS = 500_000
 WHITE = r"[\x20\x09-\x0D]+"
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for this application's intermediate tables.
-
-    ``spark.checkpoint.dir`` decides. Where it is unset a local session (tests) gets a temporary
-    folder; a cluster session is refused, because a machine-local folder would lose data there.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="lexiquarry-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/lexiquarry-{spark.sparkContext.applicationId}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return a reader of the written table.
-
-    The folder is removed when the driver's JVM ends (Hadoop's delete-on-exit list).
-    """
-    spark = df.sparkSession
-    root = scratch_root(spark)
-    path = f"{root}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that :func:`materialize` wrote and that nothing reads any more."""
-    for df in tables:
-        sc = df.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    if tables:  # shuffle files go when the JVM sees that no plan refers to them
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
-
-
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -160,11 +114,12 @@ def arrow_map(df: DataFrame, fn, schema, owner: str | None = None) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
-def join_back(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 2000) -> DataFrame:
-    """Inner join of ``rows`` with one-row-per-key ``table`` whose ``count`` says how many rows a key has.
+def join_back(rows: DataFrame, table: DataFrame, key: str, count: str, total: int, parts: int = 2000, how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with one-row-per-key ``table`` whose ``count`` says how many rows a key has.
 
     Keys with more than ``total / parts`` rows number fewer than ``parts`` and are broadcast, so
-    that no task receives all rows of a hot key; the others are joined by shuffle.
+    that no task receives all rows of a hot key; the others are joined by shuffle. ``how`` is inner
+    or left.
     """
     small = table.withColumnRenamed(key, "_key")
     hot = F.broadcast(small.where(F.col(count) * parts > total).select(F.struct(*small.columns).alias("_hot")))
@@ -172,5 +127,5 @@ def join_back(rows: DataFrame, table: DataFrame, key: str, count: str, total: in
     shape = [c for c in small.columns if c != "_key"]
     a = marked.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in shape])
     cold = small.where(F.col(count) * parts <= total)
-    b = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, F.col(key) == F.col("_key")).select(*rows.columns, *shape)
+    b = marked.where(F.col("_hot").isNull()).select(*rows.columns).join(cold, F.col(key) == F.col("_key"), how).select(*rows.columns, *shape)
     return a.unionByName(b)

@@ -1,18 +1,19 @@
 """Balanced label propagation into shards, in DataFrame functions only.
 
-Documents are linked through *hubs* (here: equal texts). A few rounds move linked documents towards
-the shard where most of their hubs' members are, under quotas; then the rest fills the shards up so
-that the law ``rows`` holds exactly: shard sizes differ by one row at most.
-
-start   a hub's members begin together, a hub larger than 1/BLOCKS of a shard's capacity in blocks of
-        about that size, each on a shard by hash. This is even to within a block, and most hubs are
-        already whole.
-rounds  hub members are counted by shard (partial sums); a document's gain for a shard is the share
-        of its hubs' members there minus the share where it is. Of the documents that want to go
-        from s to t, a hashed fraction moves, so that t gets no more than its free capacity. The
-        wishes are at most shards x shards numbers.
-fill    within each shard linked documents are taken hub by hub up to the capacity; what is beyond
-        it and all unlinked documents fill the remaining places by rank.
+Documents are linked through *hubs* (here: equal texts). Labels start even and unlinked; rounds move
+linked documents to where their neighbours are, under quotas; the rest fills the shards up so that
+the law ``rows`` holds exactly: shard sizes differ by one row at most.
+
+start   every linked document has a label by its own hash, so that shards hold equal parts.
+rounds  hub members are counted by shard (partial sums). A hub wants to be where most of its members
+        are (ties by hash; later only shards with room). A hub larger than 1/BLOCKS of a shard's
+        capacity would not fit everywhere: these, fewer than shards x BLOCKS, get a plan over shards,
+        the largest hub first: the shards that can hold most of it, in turn, as far as there is room.
+        Quotas: the part of the wishes for shard t that is granted, f(t), is the largest for which
+        t's members, less those that leave it, plus those that come, are within its capacity. Whole
+        hubs are granted or not. Hubs that are whole leave the iteration.
+fill    within each shard hubs are taken, large ones first, up to the capacity. Hubs beyond it and
+        all unlinked documents fill the remaining places by rank, hubs first and together.
 
 Ranks are exact two-level running counts, so no task sorts a shard. Joins of documents with their
 hub's counts broadcast the hubs that hold a large share of the rows (a bounded number) and shuffle
@@ -22,17 +23,21 @@ Defined results
   null text        size 1, crc32 0; linked with other null texts and with empty ones
   null doc_id      placed like any other row
   repeated rows    each is a row with its own slot
+  ties             by hash of the hub, or of the row's number
+  extra columns    are ignored, whatever their names
   empty table      no rows
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm._scratch import bucket_count, join_back, materialize, running
+from lexiquarry.llm._scratch import bucket_count, join_back, join_checked, materialize, running
 
-SHARDS, ROUNDS, BLOCKS = 8, 3, 32
+SHARDS, ROUNDS, BLOCKS = 8, 5, 32
 SCALE = 1 << 20
 
 
@@ -60,70 +65,167 @@ def _by_hub(members: DataFrame, shards: int) -> DataFrame:
     return table.select("hub", "members", F.array(*[F.col(f"_{s}") for s in range(shards)]).alias("at"))
 
 
+def plan_large(at: list[int], room: list[int]) -> list[tuple[int, int, int]]:
+    """Moves (from, to, number) of one large hub; ``room`` is updated.
+
+    The shards that can hold most of the hub are filled in turn (ties: more members, lower number).
+    """
+    shards, left, take = range(len(at)), sum(at), [0] * len(at)
+    for s in sorted(shards, key=lambda s: (-min(sum(at), at[s] + room[s]), -at[s], s)):
+        take[s] = max(0, min(left, at[s] + room[s]))
+        left -= take[s]
+    for s in shards:  # no room anywhere: stay
+        stay = min(left, at[s] - min(at[s], take[s]))
+        take[s], left = take[s] + stay, left - stay
+    moves, gives = [], [[s, at[s] - take[s]] for s in shards if at[s] > take[s]]
+    for t in shards:
+        wanted = take[t] - at[t]
+        while wanted > 0:
+            n = min(wanted, gives[-1][1])
+            moves.append((gives[-1][0], t, n))
+            gives[-1][1] -= n
+            wanted -= n
+            if not gives[-1][1]:
+                gives.pop()
+        room[t] -= take[t] - at[t]
+    return moves
+
+
+def granted(wishes: dict[tuple[int, int], int], held: list[int], capacity: list[int]) -> list[float]:
+    """f(t) for every shard: shares of the wishes for t such that no shard grows beyond its capacity.
+
+    Found from above: outflow counts as far as it is granted itself.
+    """
+    shards = range(len(held))
+    wanted = [sum(n for (_, t), n in wishes.items() if t == k) for k in shards]
+    f = [1.0] * len(held)
+    for _ in range(200):
+        leaves = [sum(n * f[t] for (s, t), n in wishes.items() if s == k) for k in shards]
+        new = [min(f[t], max(0.0, (capacity[t] - held[t] + leaves[t]) / wanted[t])) if wanted[t] else 1.0 for t in shards]
+        if max(abs(a - b) for a, b in zip(f, new)) < 1e-6:
+            break
+        f = new
+    return new
+
+
+def _large_moves(spark, plans: list[tuple], turn: int) -> DataFrame:
+    """(hub, from, lo, hi, to): a member whose draw is in [lo, hi) goes. Bounded by the large hubs."""
+    rows = []
+    for hub, at, moves in plans:
+        used = [0] * len(at)
+        for s, t, n in moves:
+            lo, used[s] = used[s], used[s] + n
+            rows.append({"h": hub.hex(), "from": s, "lo": SCALE * lo // at[s], "hi": SCALE * used[s] // at[s], "goes": t})
+    moves = F.inline(F.from_json(F.lit(json.dumps(rows)), "array<struct<h: string, from: int, lo: bigint, hi: bigint, goes: int>>"))
+    return spark.range(1).select(moves).withColumn("h", F.unhex("h"))
+
+
 def propagate(linked: DataFrame, total: int, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, hub, shard) after the rounds; ``linked`` has (uid, hub, members), one hub a document."""
-    capacity = max(1, total // shards)
-    block = max(1, capacity // BLOCKS)
-    piece = F.pmod(F.xxhash64("uid", F.lit(1)), F.greatest(F.lit(1), F.ceil(F.col("members") / F.lit(block))))
-    state = linked.select("uid", "hub", F.pmod(F.xxhash64("hub", piece, F.lit(2)), F.lit(shards)).cast("int").alias("shard"))
-    state = materialize(state, "shard-labels")
-    n = state.count()
+    """``linked`` (uid, hub, members, ..; one hub a document) with the column ``shard`` after the rounds."""
+    spark = linked.sparkSession
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    block = max(1, capacity[-1] // BLOCKS)
+    open_ = materialize(linked.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(shards)).cast("int")), "shard-labels")
+    finished, settled = [], [0] * shards
+    columns = open_.columns
     for turn in range(rounds):
-        voted = join_back(state, _by_hub(state, shards), "hub", "members", n)
-        here = F.element_at("at", F.col("shard") + 1)
-        most = F.array_max("at")
-        best = (F.array_position("at", most) - 1).cast("int")
-        wish = voted.select("uid", "hub", "shard", F.when(most > here, best).otherwise(F.col("shard")).alias("to"))
-        wish = materialize(wish, "shard-wishes")
-        moves = {(r.shard, r.to): r.n for r in wish.groupBy("shard", "to").agg(F.count(F.lit(1)).alias("n")).collect()}
-        wanted = {t: sum(k for (a, b), k in moves.items() if b == t and a != t) for t in range(shards)}
-        if not sum(wanted.values()):
+        n = open_.count()
+        cells = materialize(_by_hub(open_, shards), "shard-cells")
+        sums = cells.agg(*[F.sum(F.get("at", F.lit(s))).alias(f"_{s}") for s in range(shards)]).first()
+        held = [settled[s] + (sums[s] or 0) for s in range(shards)]
+        split = F.array_max("at") < F.col("members")
+        room = [capacity[s] - held[s] for s in range(shards)]
+        large = sorted(cells.where(F.col("members") > block).collect(), key=lambda r: (-r.members, r.hub))  # fewer than shards x BLOCKS rows
+        plans = [(bytes(r.hub), list(r["at"]), plan_large(list(r["at"]), room)) for r in large]
+        wishes: dict[tuple[int, int], int] = {}
+        for _, _, moves in plans:
+            for s, t, k in moves:
+                held[s], held[t] = held[s] - k, held[t] + k
+        usable = [turn == 0 or room[s] > 0 for s in range(shards)]
+        order = F.array(*[F.struct(F.when(F.lit(usable[s]), F.get("at", F.lit(s))).otherwise(F.lit(-1)).alias("n"), F.xxhash64("hub", F.lit(s), F.lit(turn)).alias("tie"), F.lit(s).alias("s")) for s in range(shards)])
+        aims = cells.where(F.col("members") <= block).select("hub", "members", "at", F.when(split, F.array_max(order)["s"]).alias("to"))
+        each = aims.where("to is not null").select("to", F.posexplode("at").alias("s", "k")).where("s <> to").groupBy("s", "to").agg(F.sum("k").alias("k"))
+        for r in each.collect():  # at most shards x shards rows
+            wishes[r.s, r.to] = wishes.get((r.s, r.to), 0) + r.k
+        if not any(wishes.values()) and not any(moves for _, _, moves in plans):
             break
-        held = {t: sum(k for (a, _), k in moves.items() if a == t) for t in range(shards)}
-        share = [int(SCALE * min(1.0, 0.95 * max(0, capacity - held[t]) / wanted[t])) if wanted[t] else 0 for t in range(shards)]
-        quota = F.element_at(F.array(*[F.lit(x) for x in share]), F.col("to") + 1)
-        goes = (F.col("to") != F.col("shard")) & (_draw("uid", F.lit(10 + turn)) < quota)
-        state = materialize(wish.select("uid", "hub", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard")), "shard-labels")
-    return state
+        f = granted({k: v for k, v in wishes.items() if v}, held, capacity)
+        share = F.element_at(F.array(*[F.lit(int(SCALE * x)) for x in f]), F.col("to") + 1)
+        small = join_back(open_.where(F.col("members") <= block), aims.select("hub", "members", "to").withColumnRenamed("members", "_members"), "hub", "_members", n)
+        goes = F.col("to").isNotNull() & (_draw("hub", F.lit(10 + turn)) < share)
+        moved = small.select(*[F.when(goes, F.col("to")).otherwise(F.col("shard")).alias(c) if c == "shard" else F.col(c) for c in columns], F.col("to").isNull().alias("whole"))
+        draw = _draw("uid", F.lit(50 + turn))
+        into = F.broadcast(_large_moves(spark, plans, turn))
+        hot = open_.where(F.col("members") > block).join(into, (F.col("hub") == F.col("h")) & (F.col("shard") == F.col("from")) & (draw >= F.col("lo")) & (draw < F.col("hi")), "left")
+        hot = hot.select(*[F.coalesce("goes", "shard").alias(c) if c == "shard" else F.col(c) for c in columns], F.lit(False).alias("whole"))
+        after = materialize(moved.unionByName(hot), "shard-labels")
+        done = after.where("whole").drop("whole")
+        finished.append(done)
+        for r in done.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect():
+            settled[r.shard] += r.n
+        open_ = after.where("not whole").drop("whole")
+    for part in finished:
+        open_ = open_.unionByName(part)
+    return open_
 
 
 def _bucket(key, buckets: int):
     """Order-keeping bucket of a hashed long key."""
-    return F.floor((key.cast("double") / F.lit(float(1 << 63)) + F.lit(1.0)) * F.lit(buckets / 2)).cast("int")
+    at = F.floor((key.cast("double") / F.lit(float(1 << 63)) + F.lit(1.0)) * F.lit(buckets / 2)).cast("int")
+    return F.greatest(F.lit(0), F.least(F.lit(buckets - 1), at))
+
+
+def _fill(state: DataFrame, capacity: list[int], block: int, buckets: int) -> DataFrame:
+    """``state`` with ``fits``: hubs are taken, large ones first, up to a shard's capacity.
+
+    Only a hub with more than ``block`` members in the shard is cut at the border.
+    """
+    limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("shard") + 1)
+    cells = state.groupBy("shard", "hub").agg(F.max("members").alias("members"), F.count(F.lit(1)).alias("n"))
+    first = F.col("n") > block
+    ordered = running(cells.withColumn("key", F.xxhash64("hub")), ["shard"], [F.col("key"), F.col("hub")], F.col("n"), buckets, F.when(first, 0).otherwise(_bucket(F.col("key"), buckets) + 1))
+    ordered = materialize(ordered.select("shard", "hub", "members", "n", "before", (limit - F.col("before")).alias("room")), "shard-cells")
+    small, large = state.where(F.col("members") <= block), state.where(F.col("members") > block)
+    over = ordered.where((F.col("members") <= block) & (F.col("n") > F.col("room"))).select("shard", "hub", F.lit(True).alias("over"))
+    small = join_checked(small, over, ["shard", "hub"], "left").withColumn("fits", F.col("over").isNull()).drop("over")
+    # Cells of large hubs: fewer than shards x shards x BLOCKS.
+    cut = ordered.where(F.col("members") > block).select("shard", "hub", "n", "room")
+    large = large.join(F.broadcast(cut), ["shard", "hub"])
+    ranked = running(large, ["shard", "hub"], [F.xxhash64("uid"), F.col("uid")], F.lit(1), buckets, _bucket(F.xxhash64("uid"), buckets))
+    fits = (F.col("n") <= F.col("room")) | ((F.col("n") > block) & (F.col("rank") < F.col("room")))
+    return small.unionByName(ranked.withColumn("fits", fits).select(*small.columns))
 
 
 def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """One row per document: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     rows = materialize(nodes(docs, text, doc_id), "shard-nodes")
     total = rows.count()
-    hubs = materialize(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-hubs")
-    linked = materialize(join_back(rows.select("uid", "hub"), hubs, "hub", "members", total), "shard-linked")
-    state = propagate(linked, total, shards)
-
-    # Linked documents up to the capacity, hub by hub: the order is (hub hash, hub, uid).
-    capacity = [total // shards + (s < total % shards) for s in range(shards)]
-    limit = F.element_at(F.array(*[F.lit(c) for c in capacity]), F.col("shard") + 1)
     buckets = bucket_count(total)
-    # A hub of many members spans buckets: the bucket key adds the member's own hash to its hub's.
-    spread = (F.xxhash64("hub") / 2 + F.xxhash64("uid") / (2 * BLOCKS * shards * 2)).cast("long")
-    keyed = state.withColumn("key", spread)
-    ranked = running(keyed, ["shard"], [F.col("key"), F.col("uid")], F.lit(1), buckets, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), _bucket(F.col("key"), buckets))))
-    fixed = materialize(ranked.where(F.col("rank") < limit).select("uid", "shard"), "shard-fixed")
+    capacity = [total // shards + (s < total % shards) for s in range(shards)]
+    block = max(1, capacity[-1] // BLOCKS)
+    hubs = materialize(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "shard-hubs")
+    every = materialize(join_back(rows, hubs, "hub", "members", total, how="left"), "shard-linked")
+    linked = every.where("members is not null")
+    state = materialize(_fill(propagate(linked, total, shards), capacity, block, buckets), "shard-fill")
+    fixed = state.where("fits")
 
     used = {r.shard: r.n for r in fixed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}
-    free = [capacity[s] - used.get(s, 0) for s in range(shards)]
-    pool = rows.select("uid").join(fixed.select("uid"), "uid", "left_anti").withColumn("all", F.lit(0)).withColumn("key", F.xxhash64("uid"))
-    pool = running(pool, ["all"], [F.col("key"), F.col("uid")], F.lit(1), buckets, F.greatest(F.lit(0), F.least(F.lit(buckets - 1), _bucket(F.col("key"), buckets))))
-    ends, place = 0, F.lit(shards - 1)
+    keep = ["uid", "doc_id", "size", "text_crc32"]
+    # Places that are left: documents of hubs first (together; those of a cut hub by their own hash), then the others.
+    key = F.when(F.col("members") <= block, F.xxhash64("hub")).otherwise(F.xxhash64("uid"))
+    pool = state.where("not fits").select(*keep, key.alias("key"), F.col("hub"), _bucket(key, buckets).alias("bucket"))
+    single = every.where("members is null").select(*keep, F.xxhash64("uid").alias("key"), F.col("hub"), (_bucket(F.xxhash64("uid"), buckets) + buckets).alias("bucket"))
+    pool = running(pool.unionByName(single).withColumn("all", F.lit(0)), ["all"], [F.col("key"), F.col("hub"), F.col("uid")], F.lit(1), 2 * buckets, F.col("bucket"))
+    end, ends = 0, []
     for s in range(shards):
-        ends += free[s]
-        free[s] = ends
+        end += capacity[s] - used.get(s, 0)
+        ends.append(end)
+    place = F.lit(shards - 1)
     for s in reversed(range(shards - 1)):
-        place = F.when(F.col("rank") < free[s], F.lit(s)).otherwise(place)
-    placed = fixed.unionByName(pool.select("uid", place.cast("int").alias("shard")))
-    placed = materialize(rows.drop("hub").join(placed, "uid"), "shard-placed")
-    slot_bucket = F.greatest(F.lit(0), F.least(F.lit(buckets - 1), _bucket(F.xxhash64("uid"), buckets)))
-    slots = running(placed, ["shard"], [F.xxhash64("uid"), F.col("uid")], F.lit(1), buckets, slot_bucket)
+        place = F.when(F.col("rank") < ends[s], F.lit(s)).otherwise(place)
+    placed = materialize(fixed.select(*keep, "shard").unionByName(pool.select(*keep, place.cast("int").alias("shard"))), "shard-placed")
+    own = F.xxhash64("uid", F.lit(2))  # not the order of the places, which is one of shards too
+    slots = running(placed, ["shard"], [own, F.col("uid")], F.lit(1), buckets, _bucket(own, buckets))
     return slots.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("rank").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
