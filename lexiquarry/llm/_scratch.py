@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from lexiquarry.scratch import discard, materialize, scratch_root  # noqa: F401  (operators take them from here)
 from lexiquarry.session import ship
 
-#: Most rows of a table that is sent to every executor by a broadcast join (checked, never assumed).
-BROADCAST_ROWS = 500_000
+#: Most rows and bytes of a table that is sent to every executor by a broadcast join (checked, never assumed).
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -71,13 +71,18 @@ def bucket_count(rows: int, per: int = 20_000, least: int = 64) -> int:
     return max(least, -(-rows // per))
 
 
-def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows, found without counting past them."""
-    return df.limit(limit + 1).count() <= limit
+def few(df: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows, and at most ``most`` bytes by the lengths of its values."""
+    width_ = F.lit(32)
+    for f in df.schema.fields:
+        long = f.dataType.typeName() in ("string", "binary")
+        width_ = width_ + (F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)) if long else F.lit(16))
+    rows, size = df.agg(F.count(F.lit(1)), F.sum(width_.cast("long"))).first()
+    return rows <= limit and (size or 0) <= most
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how: str = "inner", limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only if it was counted and is under ``limit`` rows; else a shuffled join."""
+    """Broadcast ``small`` only if it was counted and measured (see ``few``); else a shuffled join."""
     return big.join(F.broadcast(small) if few(small, limit) else small.hint("merge"), on, how)
 
 
