@@ -7,18 +7,21 @@ pass 1  a Bloom filter, sharded into 64-bit words, is built by a partial aggrega
         picks a word and a bit; of each word only the OR of the bits and the number of insertions
         move. A word with more insertions than bits set has possibly seen a digest twice; with as
         many, it certainly has not. The filter has about 64 bits a digest at any input size.
-pass 2  rows whose word is not flagged are unique: they pass straight through. Only the flagged
-        rows ("possibly repeated") are shuffled by digest, which settles false positives exactly.
+pass 2  the flagged words become a bit table of at most ``TABLE_BITS`` bits (64 MB), which every task
+        probes. Rows without a bit are unique: they pass straight through and are never shuffled, at
+        any input size. Only rows with a bit ("possibly repeated") are shuffled by digest, which
+        settles false positives exactly. Where there are more words than bits, words share a bit;
+        that only makes more rows possibly repeated.
 
-The flagged words are broadcast if there are at most ``BROADCAST_ROWS`` of them; beyond that their
-join is shuffled as well, on (word) keys of 8 bytes, and never on texts. A digest that holds a
-large share of the rows is one row after the partial aggregation; it joins back by broadcast (there
-can be at most ``HOT_PARTS`` such digests), so that no task receives its rows.
+A digest that holds a large share of the rows is one row after the partial aggregation; it joins
+back by broadcast (there can be at most ``HOT_PARTS`` such digests), so that no task receives its
+rows.
 
 Defined results
   null text                 counts as empty text
   null doc_id               comes after every other id; if a group has null ids only, keep_id is null
   one doc_id on equal texts exactly one of the rows stays (the one read first)
+  extra columns             are ignored, whatever their names
   empty table               no rows
 """
 
@@ -27,10 +30,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm._scratch import WHITE, join_checked, materialize
+from lexiquarry.llm._scratch import WHITE, materialize
 
 #: A digest with more than 1/HOT_PARTS of the rows is joined back by broadcast.
 HOT_PARTS = 2000
+#: Bits of the table of flagged words, at most; a row of the table holds 64 words of 64 bits.
+TABLE_BITS = 1 << 29
 
 
 def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -54,16 +59,29 @@ def possibly_repeated(rows: DataFrame, n: int) -> DataFrame:
     return words.where(F.bit_count("bits") < F.col("n")).select("word")
 
 
+def bit_table(flagged: DataFrame, bits: int) -> DataFrame:
+    """(chunk, row): the table's rows as arrays of 64 longs; at most ``bits`` / 4096 rows of 512 bytes."""
+    at = flagged.select(F.col("word").bitwiseAND(F.lit(bits - 1)).alias("at"))
+    bit = F.expr("shiftleft(cast(1 as bigint), cast(at & 63 as int))")
+    long = at.groupBy(F.shiftright("at", 12).alias("chunk"), F.shiftright("at", 6).bitwiseAND(F.lit(63)).cast("int").alias("i")).agg(F.bit_or(bit).alias("bits"))
+    longs = [F.coalesce(F.max(F.when(F.col("i") == i, F.col("bits"))), F.lit(0).cast("long")) for i in range(64)]
+    return long.groupBy("chunk").agg(F.array(*longs).alias("row"))
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 (lowercase hex)."""
     rows = materialize(digests(docs, text, doc_id), "dedup-digests")
     n = rows.count()
-    flagged = materialize(possibly_repeated(rows, n), "dedup-flagged").withColumnRenamed("word", "flag")
-    marked = join_checked(_word(rows, n), flagged, F.col("word") == F.col("flag"), "left").drop("bit", "word")
-    once = marked.where(F.col("flag").isNull()).select(
+    bits = min(TABLE_BITS, 1 << max(12, (max(1, n) - 1).bit_length()))
+    table = materialize(bit_table(possibly_repeated(rows, n), bits), "dedup-flagged")
+    at = _word(rows, n).withColumn("at", F.col("word").bitwiseAND(F.lit(bits - 1))).drop("bit", "word")
+    probed = at.join(F.broadcast(table), F.shiftright("at", 12) == F.col("chunk"), "left")
+    hit = F.expr("coalesce(shiftright(get(row, cast(shiftright(at, 6) & 63 as int)), cast(at & 63 as int)) & 1, 0) = 1")
+    marked = probed.select("uid", "doc_id", "sha", hit.alias("hit"))
+    once = marked.where(~F.col("hit")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha"
     )
-    again = marked.where(F.col("flag").isNotNull()).drop("flag")
+    again = marked.where("hit").drop("hit")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("void"), F.col("doc_id").alias("id"), F.col("uid").alias("uid")))
     groups = materialize(again.groupBy("sha").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     groups = groups.select(F.col("sha").alias("group"), F.col("first.id").alias("keep_id"), F.col("first.uid").alias("keep_uid"), "group_size")
