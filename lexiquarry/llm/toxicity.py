@@ -14,7 +14,10 @@ rows that the gradients have not seen.
 Defined results
   null or empty text       the score of a text without features (below 0.5)
   no toxic example         every score is 0.01
-  repeated rows            scored row by row
+  repeated rows            scored row by row; an id on several texts is learned from once (smallest text)
+  ties, extra columns      a score of 0.5 counts as toxic; extra columns are ignored
+  very long texts          scored whole; features are a set, so memory follows the distinct words
+  empty table              no rows
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiquarry.llm._labels import draw, learnable, with_text
+from lexiquarry.llm._labels import draw, draw_unlabelled, learnable, with_text
 from lexiquarry.llm._scratch import arrow_map, held_out
 from lexiquarry.llm._words import Memo, raw
 
@@ -160,10 +163,11 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int
 
 
 def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, unlabelled_docs: int = UNLABELLED_DOCS) -> ToxicityModel:
-    """Fit on at most ``toxic_docs`` confirmed toxic and ``unlabelled_docs`` label-blind rows.
+    """Fit on at most ``toxic_docs`` confirmed toxic and ``unlabelled_docs`` unlabelled documents.
 
-    The unlabelled side is drawn from all rows outside the held-out fold whatever their label,
-    and its labels are not read; the prior is the toxic share of the labelled rows.
+    The unlabelled side is drawn from all documents outside the held-out fold, labelled or not, and no
+    label of theirs is read; the prior is the toxic share of the labelled rows. Texts become feature
+    lists in the tasks; these, one per drawn id, go to the driver.
     """
     rows = learnable(labels, "toxic")
     n = {int(r.label): r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -171,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS, unla
         return ToxicityModel()
     prior = min(0.9, max(1e-3, n[1] / sum(n.values())))
     sample = draw(rows, toxic_docs, 21, F.col("label") == 1).select("doc_id", F.lit(1).alias("label"))
-    sample = sample.unionByName(draw(rows, unlabelled_docs, 22).select("doc_id", F.lit(0).alias("label")))
+    sample = sample.unionByName(draw_unlabelled(docs, unlabelled_docs, 22).select("doc_id", F.lit(0).alias("label")))
 
     def run(batches):
         memo = Memo(word_features)
