@@ -11,6 +11,9 @@ Defined results
   no training row at all            ``und`` with score 0 for every document
   one single language               that language with score 1
   repeated rows, extra columns      scored row by row; extra columns are ignored by the query
+  ties                              the language that comes first by code point
+  very long texts                   all windows count, at most a group of them in memory
+  empty table                       no rows
 """
 
 from __future__ import annotations
@@ -18,16 +21,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm._scratch import arrow_map, held_out
+from lexiquarry.llm._scratch import arrow_map, held_out, join_checked
 from lexiquarry.llm._words import raw
 
 #: Bytes in a window, convolution widths and filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
-#: Bounds of the training sample: documents a language, languages, and windows a document.
-SAMPLE_DOCS, MAX_LANGS, SAMPLE_WINDOWS = 1500, 200, 4
+#: Bounds of the training sample: documents of a language, of all languages together (but LEAST_DOCS of
+#: each), and windows of a document. Every language that occurs is learned.
+SAMPLE_DOCS, TOTAL_DOCS, LEAST_DOCS, SAMPLE_WINDOWS = 1500, 8000, 20, 4
 
 _LETTER = regex.compile(r"\p{L}")
 
@@ -151,34 +155,36 @@ class ByteConvNet:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> ByteConvNet | None:
-    """Fit on at most ``sample_docs`` documents of each of the ``MAX_LANGS`` most frequent languages.
+    """Fit on at most ``sample_docs`` documents of each language (see the bounds above).
 
-    Held-out rows are never read for training. The sample is picked by hash, so reruns agree.
+    Held-out rows are never read for training. The sample is picked by a hash of id and text, so reruns
+    agree, rows without an id are drawn like others, and repeated rows are drawn once.
     """
     rows = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") > 0) & ~held_out(F.col("i")))
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(MAX_LANGS).collect()}
-    if not sizes:
+    sizes = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    langs = sorted(r.l for r in sizes.collect())
+    if not langs:
         return None
-    langs = sorted(sizes)
-    # A hash threshold per language keeps about sample_docs rows without sorting a language.
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, 1.1 * sample_docs / n)))])
-    drawn = rows.where(F.col("l").isin(langs)).where(F.pmod(F.xxhash64("i", F.lit(5)), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    each = min(sample_docs, max(LEAST_DOCS, TOTAL_DOCS // len(langs)))
+    # A hash threshold per language leaves about 1.1 * each rows; the first of them by hash are taken.
+    share = sizes.select(F.col("l").alias("_l"), F.least(F.lit(1.0), F.lit(1.1 * each) / F.col("n")).alias("share"))
+    drawn = join_checked(rows.withColumn("h", F.xxhash64("i", "t")), share, F.col("l") == F.col("_l"))
+    drawn = drawn.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
     # Window starts are spread over the whole text by hash; a window is cut out in the JVM.
-    start = lambda k: F.pmod(F.xxhash64("i", F.lit(100 + k)), F.greatest(F.lit(1), F.length("t") - F.lit(WINDOW))).cast("int")
-    pieces = drawn.select("l", F.array(*[F.substring(F.col("t"), start(k) + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]).alias("w"))
-    got = pieces.toPandas()
+    start = lambda k: F.pmod(F.xxhash64("h", F.lit(100 + k)), F.greatest(F.lit(1), F.length("t") - F.lit(WINDOW))).cast("int")
+    pieces = drawn.select("l", "h", F.array(*[F.substring(F.col("t"), start(k) + 1, F.lit(WINDOW)) for k in range(SAMPLE_WINDOWS)]).alias("w"))
+    pieces = pieces.groupBy("l", "h").agg(F.min("w").alias("w"))
+    first = Window.partitionBy("l").orderBy("h")  # over about 1.1 * each rows of a language
+    got = pieces.withColumn("k", F.row_number().over(first)).where(F.col("k") <= each).toPandas().sort_values(["l", "h"], kind="stable")
     number = {k: i for i, k in enumerate(langs)}
-    got = got.sort_values("l", kind="stable")
     x, y = [], []
-    for name, group in got.groupby("l", sort=True):
-        seen = sorted(tuple(w) for w in group["w"])[:sample_docs]
-        for ws in seen:
-            for w in dict.fromkeys(ws):
-                x.append(cut(w.encode()[:WINDOW])[0])
-                y.append(number[name])
+    for name, ws in zip(got["l"], got["w"]):
+        for w in dict.fromkeys(ws):
+            x.append(cut(w.encode()[:WINDOW])[0])
+            y.append(number[name])
     net = ByteConvNet(langs)
-    if len(langs) > 1:
+    if len(langs) > 1 and x:
         net.fit(np.array(x), np.array(y))
     return net
 
