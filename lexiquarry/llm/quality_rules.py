@@ -1,14 +1,19 @@
 """Quality rules as a short-circuit cascade.
 
 A rule rejects documents by integer arithmetic on a few metrics of the whole text. On a bounded
-sample the cascade measures what each rule's metrics cost and how many documents it rejects, and
-then applies the rules in the order of rejections per cost. Within an Arrow batch, a metric is
-computed only for documents that no earlier rule rejected (and only once). The order never changes
-a verdict: a document is kept if and only if no rule rejects it.
+sample, drawn by hash, the cascade measures what each metric and each rule's own arithmetic cost. The
+order is built greedily: next comes the rule that rejects most of the documents that the rules before
+it left, per cost; a metric that is computed already (by an earlier rule, or because it is reported)
+costs nothing more. Within an Arrow batch, a metric is computed only for documents that no earlier
+rule rejected (and only once). The order never changes a verdict: a document is kept if and only if
+no rule rejects it.
 
 Defined results
   null or empty text   no words; all metrics 0; rejected by ``few_words``
   repeated rows        judged row by row
+  ties                 rules of equal rejections per cost go by name
+  very long texts      judged whole, one at a time
+  extra columns        are ignored, whatever their names
   empty table          no rows
 """
 
@@ -24,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiquarry.llm._labels import SAMPLE_BYTES, with_text
 from lexiquarry.llm._scratch import arrow_map
 from lexiquarry.llm._words import Memo, raw, windows, word_hashes, word_memo
 
@@ -126,27 +132,51 @@ RULES = (
 )
 
 
-def order_rules(texts: list[bytes], rules: tuple[Rule, ...]) -> list[tuple[Rule, float, float]]:
-    """(rule, rejected share, seconds a document) by rejections per cost on the sample, best first."""
-    out = []
+def order_rules(texts: list[bytes], rules: tuple[Rule, ...], paid: tuple[str, ...] = ()) -> list[tuple[Rule, float, float]]:
+    """(rule, rejected share, seconds a document) in the order of the cascade.
+
+    Share and cost are those at the rule's place: of the documents left, for the metrics not yet paid.
+    """
     rows = np.arange(len(texts))
-    for rule in rules:
-        m = Metrics(texts, word_memo())
+    m, price, verdict = Metrics(texts, word_memo()), {}, {}
+    for name in sorted({n for r in rules for n in r.needs}):
         began = time.perf_counter()
-        rejected = rule.reject(*[m.get(n, rows) for n in rule.needs]) if len(rows) else np.zeros(0, bool)
-        cost = (time.perf_counter() - began) / max(1, len(rows))
-        out.append((rule, float(rejected.mean()) if len(rows) else 0.0, cost))
-    return sorted(out, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
-
-
-def sample(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> list[bytes]:
-    """At most ``sample_docs`` texts from the first partitions read; nothing is shuffled."""
-    return [(r.t or "").encode() for r in docs.select(F.col(text).cast("string").alias("t")).take(sample_docs)]
+        m.get(name, rows)
+        price[name] = (time.perf_counter() - began) / max(1, len(rows))
+    for r in rules:
+        began = time.perf_counter()
+        verdict[r.name] = r.reject(*[m.get(n, rows) for n in r.needs])
+        price[r.name, "own"] = (time.perf_counter() - began) / max(1, len(rows))
+    out, known, alive, left = [], set(paid), rows, list(rules)
+    while left:
+        judged = []
+        for r in left:
+            cost = price[r.name, "own"] + sum(price[n] for n in r.needs if n not in known)
+            judged.append((r, float(verdict[r.name][alive].mean()) if len(alive) else 0.0, cost))
+        best = min(judged, key=lambda x: (-x[1] / max(x[2], 1e-9), x[0].name))
+        out.append(best)
+        known |= set(best[0].needs)
+        alive = alive[~verdict[best[0].name][alive]]
+        left.remove(best[0])
+    return out
+
+
+def sample(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, doc_id: str = "doc_id") -> list[bytes]:
+    """At most ``sample_docs`` texts of at most SAMPLE_BYTES bytes together, by hashed id.
+
+    The ids are drawn first (a scan of one column and a top-k). Ids that several rows share, or that are
+    null, count once.
+    """
+    ids = docs.select(F.col(doc_id).alias("doc_id")).where(F.col("doc_id").isNotNull())
+    rate = int(min(1.0, 3.0 * sample_docs / max(1, ids.count())) * (1 << 30))
+    drawn = ids.where(F.pmod(F.xxhash64("doc_id", F.lit(41)), F.lit(1 << 30)) < rate).distinct()
+    drawn = drawn.orderBy(F.xxhash64("doc_id", F.lit(42)), "doc_id").limit(sample_docs).withColumn("label", F.lit(0))
+    return [r.text.encode() for r in with_text(docs, drawn, text, doc_id, SAMPLE_BYTES).orderBy("doc_id").collect()]
 
 
-def plan(texts: list[bytes], rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+def plan(texts: list[bytes], rules: tuple[Rule, ...], paid: tuple[str, ...] = ()) -> tuple[Rule, ...]:
     """``rules`` in the order that :func:`order_rules` finds on the sample."""
-    return tuple(r for r, _, _ in order_rules(texts, rules))
+    return tuple(r for r, _, _ in order_rules(texts, rules, paid))
 
 
 def cascade(m: Metrics, rules: tuple[Rule, ...], alive: np.ndarray) -> tuple[np.ndarray, list[str | None]]:
@@ -200,7 +230,7 @@ REPORTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = sample(docs)
-    return judge(docs, plan(texts, RULES), REPORTED, plan(texts, BASE)).drop("failed_rule")
+    return judge(docs, plan(texts, RULES, REPORTED), REPORTED, plan(texts, BASE, REPORTED)).drop("failed_rule")
 
 
 SQL = r"""
