@@ -18,16 +18,19 @@ Defined results
   null or empty text   size 0, taken 0, no position
   null source          a source of its own, last in the order
   repeated rows        each is a document
+  ties                 equal hashes of ids go by id, then by row
+  very long texts      only their number of words is kept
+  extra columns        are ignored, whatever their names
   empty table          no rows
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiquarry.llm._scratch import arrow_map, bucket_count, join_checked, materialize, running
+from lexiquarry.llm._scratch import WHITE, arrow_map, bucket_count, join_checked, materialize, running
 from lexiquarry.llm._words import raw
 
 WEIGHTS, BUDGET, CAP, SLOPES = (3, 1, 2), 1.5, 2, (0.5, -0.5, 0.0)
@@ -51,14 +54,24 @@ def sizes(docs: DataFrame, text: str = "text", source: str = "source", doc_id: s
     return arrow_map(rows, run, "uid long, doc_id long, source string, th long, size long")
 
 
+def _numbered(sources: DataFrame) -> DataFrame:
+    """Adds ``place``: sources by code point from 0, null last. They are range-sorted; only counts per
+    partition meet in one task."""
+    order = F.col("source").asc_nulls_last()
+    ranged = materialize(sources.repartitionByRange(order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id()), "mix-ranged")
+    part, at = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    ahead = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_start"))
+    return ranged.join(F.broadcast(starts), part == F.col("_p")).withColumn("place", F.col("_start") + at).drop("_at", "_p", "_start")
+
+
 def targets(sized: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: int = CAP, slopes=SLOPES) -> DataFrame:
     """(source, source_size, target, slope): one row per source.
 
     Each round of sharing brings one row of sums to the driver, never the sources themselves.
     """
     pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(at, F.lit(len(values))) + 1).cast("int"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    table = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("place", place)
+    table = _numbered(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     table = table.withColumns({"weight": pick(weights, F.col("place")), "slope": pick(slopes, F.col("place"))})
     table = materialize(table, "mix-sources")
     total = table.agg(F.sum("source_size")).first()[0] or 0
@@ -101,14 +114,29 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     return rows.withColumn("taken", (passes * F.col("size") + last).cast("long"))
 
 
-def uses(mixed: DataFrame) -> DataFrame:
-    """One row per use of a document, range-sorted by training position: uid, doc_id, use, words, position."""
+def each_use(mixed: DataFrame) -> DataFrame:
+    """One row per use of a document: uid, doc_id, source, th, size, use, words, position.
+
+    ``words`` is less than ``size`` for the use with which a source meets its target: its first words
+    are taken.
+    """
     n = F.ceil(F.col("taken") / F.col("size")).cast("int")
     each = mixed.where(F.col("taken") > 0).withColumn("use", F.explode(F.sequence(F.lit(0), n - 1)))
     at = F.col("before") + F.col("use") * F.col("source_size")
     words = F.least(F.col("size"), F.col("taken") - F.col("use") * F.col("size"))
-    out = each.select("uid", "doc_id", "use", words.alias("words"), position(at, F.col("target"), F.col("slope")).alias("position"))
-    return out.orderBy("position", "doc_id", "uid", "use")
+    return each.select("uid", "doc_id", "source", "th", "size", "use", words.alias("words"), position(at, F.col("target"), F.col("slope")).alias("position"))
+
+
+def uses(mixed: DataFrame) -> DataFrame:
+    """The curriculum: every use (see :func:`each_use`), range-sorted by training position."""
+    return each_use(mixed).orderBy("position", "doc_id", "uid", "use")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its ``n``-th word (it must have more words)."""
+    leading = F.when(text.rlike(f"^{WHITE}"), 1).otherwise(0)
+    rest = F.element_at(F.split(text, WHITE, (n + leading + 1).cast("int")), -1)
+    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), f"{WHITE}$", "")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
