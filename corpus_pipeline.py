@@ -6,28 +6,37 @@ the next stage's ``docs``. All but the last return the columns of ``documents``.
 quality   documents that the compression classifier rejects (score below 0.3) go
 lines     repeated lines leave the texts; a document all of whose lines go stays, empty
 near      of each group of near-duplicates the document with the smallest id stays
-mix       each document is repeated as often as the mix takes it (a use that is cut short counts
-          from half of the document on); documents that it does not take go
+mix       each document is repeated as often as the mix takes it, in the order of the curriculum;
+          documents that it does not take go
 pack      what remains is packed into sequences (one row per piece)
 """
 
 from __future__ import annotations
 
+import operator
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiquarry.llm import line_dedup, mixing, near_dedup, packing, quality_classifier
-from lexiquarry.llm._scratch import join_checked, materialize
+from lexiquarry.llm._scratch import few, join_checked, materialize, width
+
+
+#: Words of a range partition of the curriculum, about (some 60 MB of text).
+PART_WORDS = 10_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is at least 0.3 stay as they are, null and empty texts included; rows are judged
+    one by one, so repeated rows share their fate. Without labels every row stays (score 0.5)."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_classifier.keep_good(docs, quality_classifier.train(docs, labels))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; repeated lines leave their texts (null texts stay null), and n_chars follows."""
     out = line_dedup.apply(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
@@ -60,23 +69,48 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not repeated:
         return kept
     w = Window.partitionBy(i, th).orderBy(*[F.col(c) for c in kept.columns if c not in ("doc_id", "text")])
-    flagged = kept.join(F.broadcast(again) if again.count() < 100_000 else again, (i == F.col("__lq_again")) & (th == F.col("__lq_first")), "left")
+    flagged = kept.join(F.broadcast(again) if few(again) else again, (i == F.col("__lq_again")) & (th == F.col("__lq_first")), "left")
     single = flagged.where(F.col("__lq_again").isNotNull()).withColumn("__lq_n", F.row_number().over(w)).where("__lq_n = 1")
     return flagged.where(F.col("__lq_again").isNull()).select(*docs.columns).unionByName(single.select(*docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(docs)
-    times = F.when(F.col("size") > 0, F.floor((F.col("taken") * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(0).cast("int")
+    """The mix as a curriculum: a row for every use of a document, sorted by training position.
+
+    The words of all rows of a source are those that ``mixing.mix`` takes: a document that is used k
+    times has k rows, and the use with which its source meets its target has the document's first words
+    only (at most one row a source). Documents that the mix does not take go, as do empty ones.
+    Rows that share id, source and text are each mixed; their uses are rows of one of them.
+    Null ids and sources are values like others; an empty table stays empty.
+    """
+    key, columns = ["__lq_id", "__lq_th", "__lq_source"], docs.columns
+    named = [F.col("doc_id").alias(key[0]), F.col("th").alias(key[1]), F.col("source").alias(key[2])]
+    mixed = materialize(mixing.mix(docs), "pipeline-mixed")
+    plan = mixing.each_use(mixed).select(*named, F.col("size").alias("__lq_size"), F.col("words").alias("__lq_words"), F.col("use").alias("__lq_use"), F.col("position").alias("__lq_at"))
+    plan = materialize(plan, "pipeline-uses")
     i, th = _identity(docs)
-    plan = mixed.select(F.col("doc_id").alias("__lq_id"), F.col("th").alias("__lq_th"), times.alias("__lq_times")).groupBy("__lq_id", "__lq_th").agg(F.max("__lq_times").alias("__lq_times"))
-    plan = materialize(plan, "pipeline-mix")
-    out = join_checked(docs, plan, i.eqNullSafe(F.col("__lq_id")) & (th == F.col("__lq_th")))
-    repeated = out.where("__lq_times > 0").withColumn("__lq_use", F.explode(F.sequence(F.lit(1), F.col("__lq_times"))))
-    return repeated.select(*docs.columns)
+    same = lambda a, b: reduce(operator.and_, [x.eqNullSafe(F.col(y)) for x, y in zip(a, b)])
+    own = [i, th, F.col("source").cast("string")]
+    again = materialize(mixed.groupBy(*named).count().where("count > 1").drop("count"), "pipeline-again")
+    if again.head(1):  # rows that stand for the same document: one of them stays
+        other = [c for c in columns if c not in ("doc_id", "source", "text")]
+        one = join_checked(docs, again, same(own, key)).groupBy(*key).agg(F.min(F.struct("doc_id", "source", "text", *other)).alias("one"))
+        docs = join_checked(docs, again, same(own, key), "left_anti").unionByName(one.select([F.col(f"one.`{c}`").alias(c) for c in columns]))
+    used = join_checked(docs, plan, same(own, key))
+    part = F.col("__lq_words") < F.col("__lq_size")
+    text = F.when(part, mixing.first_words(F.col("text"), F.col("__lq_words"))).otherwise(F.col("text"))
+    used = used.withColumn("text", text.cast(docs.schema["text"].dataType))
+    if "n_chars" in columns:
+        used = used.withColumn("n_chars", F.when(part, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    words = plan.agg(F.sum("__lq_words")).first()[0] or 0
+    order = ["__lq_at", *key, "__lq_use"]
+    parts = max(width(spark), words // PART_WORDS)
+    return used.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece, as ``packing.pack`` returns them; a null or empty text is one separator, repeated
+    rows are packed each, an empty table has no rows."""
     return packing.pack(docs)
 
 
