@@ -7,10 +7,11 @@ from pyspark.sql import types as T
 
 from lexiquarry.functions import text as X
 from lexiquarry.functions.features import definition_features, score
-from lexiquarry.functions.ranks import number
-from lexiquarry.operators import annotate, cascade, definitions, lines
+from lexiquarry.functions.ranks import totals_before, with_offsets
+from lexiquarry.operators import annotate, cascade, definitions, lines, rule_files
 from lexiquarry.plans._book import Book
 from lexiquarry.sources import readers, sinks
+from lexiquarry.session import cut
 from lexiquarry.sources.readers import table
 
 book = Book()
@@ -48,10 +49,16 @@ _TRIM = r"regexp_replace(x, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')"
                array_to_string(meta, '|') AS meta FROM p""",
 )
 def definition_preprocess(spark, sf_dir):
-    """Lines of documents as raw definitions: class filter, numbering, clean-up, one row per alternative."""
+    """Lines of documents as raw definitions: class filter, numbering, clean-up, one row per alternative.
+
+    Lines are numbered by their place in the document and the lines before the document; only ids and
+    counts are added up, texts stay where they are."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("word_class"))
-    rows = lines.explode_lines(definitions.of_classes(docs, ["EN", "FR"]), "text", "doc_id", "word_class")
-    rows = number(rows, F.floor(F.col("doc_id") / 500), [F.col("doc_id"), F.col("line_no")], "raw_definition_id")
+    docs = definitions.of_classes(docs, ["EN", "FR"]).where("text is not null")
+    sizes = docs.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n"))
+    docs = with_offsets(docs, cut(totals_before(sizes, "doc_id", "n", "lines_before")), "doc_id")
+    rows = lines.explode_lines(docs, "text", "doc_id", "word_class", "lines_before")
+    rows = rows.withColumn("raw_definition_id", F.col("lines_before") + F.col("line_no") + 1).drop("lines_before")
     made = definitions.preprocess(rows, "line").withColumn("meta", F.array_join("meta", "|"))
     return made.select("raw_definition_id", "doc_id", "word_class", F.posexplode("parts").alias("alternate_no", "alternate"), "meta")
 
@@ -304,10 +311,23 @@ def logistic_score(spark, sf_dir):
     return _tagged(spark, sf_dir).select("conv_id", "turn", "line_no", F.round(score(), 6).alias("confidence"))
 
 
+_RULES = [
+    'Year := OpenRegex { <string=/[12][0-9][0-9][0-9]/> }\nAmount := OpenRegex { <string=/[0-9]+/ & !string=/[12][0-9][0-9][0-9]/>+ }',
+    'Range := TypedOpenRegex { (<From>: @Year | @Amount) <string="-" | string="to"> (<To>: @Year | @Amount) }',
+]
+
+
+@book("rule_file_spans")
+def rule_file_spans(spark, sf_dir):
+    """Two levels of token rules, given as text, over every line of documents (rows only: surrogate tags)."""
+    rows = lines.explode_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    return rule_files.spans(rows, _RULES, cascade.surrogate_tokens, "doc_id", "line")
+
+
 @book("noun_definitions")
 def noun_definitions(spark, sf_dir):
-    """The token cascade over every English line of documents (rows only: surrogate tags)."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """The token cascade over every line of documents (rows only: surrogate tags)."""
+    docs = table(spark, sf_dir, "documents")
     rows = lines.explode_lines(docs, "text", "doc_id").where(F.length("line") > 0)
     rows = rows.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("term"), F.explode(annotate_sentences(F.col("line"))).alias("part"))
     return cascade.extract(rows)
