@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiquarry.operators import annotate, graph, rules
 from lexiquarry.plans._book import Book
-from lexiquarry.plans.patterns import PLACE, Bind, Differ, Edge, Either, GraphTables, Not, Prop, Tok, construct, match, path_candidates
+from lexiquarry.plans.patterns import PLACE, Bind, Differ, Edge, Either, GraphTables, Not, Prop, Tok, as_sql, construct, match, path_candidates
 from lexiquarry.sources.readers import table
 
 book = Book()
@@ -377,6 +378,95 @@ def constituent_text(spark, sf_dir):
     return got.select(F.col("corpus").cast("long").alias("conv_id"), F.col("sentence_id").alias("turn"), "node", "label", "comment")
 
 
+# Events as a graph that every rule and fix-up meets: an event's properties and its edges to events of
+# the same user are picked from these lists by its number.
+_WORDS = ("must", "help", "way", "part", "cause", "necessary", "so", "when", "go", "see", "example", "by", "for", "in", "allow", "thing", "called", "used", "eat")
+_TAGS = ("VB", "VBG", "NN", "NNS", "IN", "VBZ", "MD")
+_NAMES = ("DATE", "TIME", "PLACE")
+_DEPS = (
+    "xcomp", "ccomp", "vmod", "prepc_by", "auxpass", "advcl", "csubjpass", "nsubjpass", "rcmod", "prep_by", "mark", "aux", "cop", "csubj", "prep_of", "nsubj", "det",
+    "partmod", "infmod", "agent", "advmod", "conj_and", "prep", "dep", "dobj", "tmod", "pobj", "prep_for",
+)
+_STEPS = (1, 2, 3, 5, 8, 13, 21)
+# An edge goes from an event to the one ``step`` places before it; picks are by products of numbers.
+_PICK = {"text": (_WORDS, 7), "lemma": (_WORDS, 11), "pos": (_TAGS, 13)}
+
+
+def _sql_list(x) -> str:
+    return f"[{', '.join(map(repr, x))}]"
+
+
+_EVENT_GRAPH = f"""n AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+  tokens AS (SELECT 'e' AS corpus, user_id AS sentence_id, event_id AS token_id, {', '.join(f"{_sql_list(w)}[event_id * {m} // 5 % {len(w)} + 1] AS {c}" for c, (w, m) in _PICK.items())},
+    CASE WHEN event_id % 4 < 3 THEN {_sql_list(_NAMES)}[event_id % 4 + 1] END AS ne_type FROM events),
+  s AS (SELECT a.user_id, a.event_id AS head, b.event_id AS tail, a.k - b.k AS step FROM n a JOIN n b ON a.user_id = b.user_id AND a.k - b.k IN {_STEPS}),
+  d0 AS (SELECT DISTINCT 'e' AS corpus, user_id AS sentence_id, CASE WHEN (head + step) % 3 = 0 THEN 'basic' ELSE 'dep' END AS graph, head, tail,
+    {_sql_list(_DEPS)}[(head * step * 17 + tail) // 3 % {len(_DEPS)} + 1] AS label FROM s)"""
+
+
+def _event_graph(spark, sf_dir) -> GraphTables:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    pick = lambda words, at: F.get(F.array(*[F.lit(w) for w in words]), (at % len(words)).cast("int"))
+    place = [F.lit("e").alias("corpus"), F.col("user_id").alias("sentence_id")]
+    i = F.col("event_id")
+    made = [pick(w, F.floor(i * m / 5)).alias(c) for c, (w, m) in _PICK.items()]
+    tokens = e.select(*place, i.alias("token_id"), *made, F.when(i % 4 < 3, pick((*_NAMES, "-"), i % 4)).alias("ne_type"))
+    back = Window.partitionBy("user_id").orderBy("event_id")
+    ahead = e.select("user_id", i.alias("head"), *[F.lag("event_id", s).over(back).alias(f"_{s}") for s in _STEPS])
+    steps = ahead.select("user_id", "head", F.explode(F.array(*[F.struct(F.lit(s).alias("step"), F.col(f"_{s}").alias("tail")) for s in _STEPS])).alias("s"))
+    steps = steps.select(*place, "head", "s.tail", "s.step").where("tail is not null")
+    graph_ = F.when((F.col("head") + F.col("step")) % 3 == 0, "basic").otherwise("dep")
+    label = pick(_DEPS, F.floor((F.col("head") * F.col("step") * 17 + F.col("tail")) / 3))
+    return GraphTables(tokens, steps.select(*PLACE, graph_.alias("graph"), "head", "tail", label.alias("label")).distinct())
+
+
+def _fixed_sql() -> str:
+    """CTEs d1 to d5: the edges after each fix-up."""
+    out = []
+    for k, (atoms, head, tail, before, var) in enumerate(rules.FIX_UPS, 1):
+        label = f"'{before}' || {{{var}}}" if var else f"'{before}'"
+        new = as_sql(atoms, {"head": f"{{{head}}}", "tail": f"{{{tail}}}", "label": label}, f"d{k - 1}")
+        out.append(f"d{k} AS (SELECT * FROM d{k - 1} UNION SELECT corpus, sentence_id, 'dep', head, tail, label FROM ({new}))")
+    return ", ".join(out)
+
+
+def _relations_sql() -> str:
+    """CTE found: every rule over the fixed edges (d5)."""
+    parts = [f"SELECT *, '{rel}' AS rel, '{rule}' AS rule_id FROM ({as_sql(atoms, {'head': '{root}', 'tail': '{comp}'}, 'd5')})" for rule, rel, atoms in rules.RULES]
+    return "found AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@book("fix_ups", f"WITH {_EVENT_GRAPH}, {_fixed_sql()} SELECT sentence_id, graph, head, tail, label FROM (SELECT * FROM d5 EXCEPT SELECT * FROM d0)")
+def fix_ups(spark, sf_dir):
+    """Edges that the five fix-ups add, each seeing those of the ones before."""
+    g = _event_graph(spark, sf_dir)
+    columns = [*PLACE, "graph", "head", "tail", "label"]
+    return rules.fix(g).deps.select(*columns).subtract(g.deps.select(*columns)).drop("corpus")
+
+
+@book(
+    "relation_rules",
+    f"""WITH {_EVENT_GRAPH}, {_fixed_sql()}, {_relations_sql()},
+        pairs AS (SELECT sentence_id, head AS node, tail AS other FROM d5 WHERE graph = 'dep' AND label = 'conj_and' UNION ALL SELECT sentence_id, tail, head FROM d5 WHERE graph = 'dep' AND label = 'conj_and'),
+        c AS (SELECT sentence_id, node, min(other) AS conj FROM pairs GROUP BY ALL),
+        h AS (SELECT * FROM found UNION ALL SELECT f.corpus, f.sentence_id, c.conj, f.tail, f.rel, f.rule_id FROM found f JOIN c ON c.sentence_id = f.sentence_id AND c.node = f.head),
+        t AS (SELECT * FROM h UNION ALL SELECT h.corpus, h.sentence_id, h.head, c.conj, h.rel, h.rule_id FROM h JOIN c ON c.sentence_id = h.sentence_id AND c.node = h.tail)
+        SELECT DISTINCT sentence_id, head, tail, rel, rule_id FROM t""",
+)
+def relation_rules(spark, sf_dir):
+    """Fix-ups, all 21 rules and the expansion over conjuncts."""
+    return rules.relations(rules.fix(_event_graph(spark, sf_dir))).drop("corpus")
+
+
+@book(
+    "path_arguments",
+    f"""WITH {_EVENT_GRAPH} SELECT sentence_id, 'has' AS rel, arg1, arg2 FROM ({as_sql([Edge("v3", "nsubj", "v1", "basic"), Edge("v3", "dobj", "v2", "basic"), Differ("v1", "v2")], {"arg1": "{v1}", "arg2": "{v2}"}, "d0")})""",
+)
+def path_arguments(spark, sf_dir):
+    """A mined path pattern compiled to joins."""
+    return path_candidates(_event_graph(spark, sf_dir), "has => (nsubj(_3, _1), dobj(_3, _2))").drop("corpus")
+
+
 @book("relation_rules_surrogate")
 def relation_rules_surrogate(spark, sf_dir):
     """Fix-ups and all 21 relation rules over surrogate parses of every document (rows only)."""

@@ -190,3 +190,91 @@ def path_candidates(g: GraphTables, pattern: str, graph: str = "basic") -> DataF
     rel, atoms = parse_path(pattern, graph)
     m = match(g, [*atoms, Differ("v1", "v2")])
     return m.select(*PLACE, F.lit(rel).alias("rel"), F.col("v1").alias("arg1"), F.col("v2").alias("arg2")).distinct()
+
+
+# -- the same patterns as SQL text -------------------------------------------------------------------
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _sql_test(t: Tok, column: str) -> str:
+    c, v = f"{column}.{t.prop}", t.value
+    return {
+        "eq": lambda: f"{c} = {_quoted(v)}",
+        "ne": lambda: f"{c} <> {_quoted(v)}",
+        "prefix": lambda: f"starts_with({c}, {_quoted(v)})",
+        "not_prefix": lambda: f"NOT starts_with({c}, {_quoted(v)})",
+        "regex": lambda: f"regexp_matches({c}, {_quoted(v)})",
+        "not_regex": lambda: f"NOT regexp_matches({c}, {_quoted(v)})",
+        "in": lambda: f"{c} IN ({', '.join(map(_quoted, v.split('|')))})",
+    }[t.op]()
+
+
+def _branches(atoms) -> list[list]:
+    """``atoms`` without Either: one list per combination of branches."""
+    out = [[]]
+    for a in atoms:
+        ways = [list(b) for b in a.branches] if isinstance(a, Either) else [[a]]
+        out = [x + w for x in out for w in ways]
+    return [y for x in out for y in (_branches(x) if any(isinstance(a, Either) for a in x) else [x])]
+
+
+def _sql_body(atoms, deps: str, tokens: str, outer: dict[str, str], place: str | None, tag: str) -> tuple[str, dict[str, str], str]:
+    """(FROM .. WHERE .., variables, place) of atoms without Either; ``outer`` are bound variables."""
+    bound, tables, conds = dict(outer), [], []
+
+    def at(alias: str) -> None:
+        nonlocal place
+        if place is None:
+            place = alias
+        else:
+            conds.extend(f"{alias}.{c} = {place}.{c}" for c in PLACE)
+
+    def bind(var: str, value: str) -> None:
+        if var in bound:
+            conds.append(f"{bound[var]} = {value}")
+        else:
+            bound[var] = value
+
+    for i, a in enumerate(atoms):
+        if isinstance(a, Edge):
+            e = f"{tag}e{i}"
+            tables.append(f"{deps} {e}")
+            at(e)
+            kinds = [f"starts_with({e}.label, {_quoted(x[:-1])})" if x.endswith("*") else f"{e}.label = {_quoted(x)}" for x in a.labels.split("|")]
+            conds.append(f"{e}.graph = {_quoted(a.graph)} AND ({' OR '.join(kinds)})")
+            bind(a.src, f"{e}.head")
+            bind(a.dst, f"{e}.tail")
+            if a.keep:
+                bound[a.keep] = f"{e}.label"
+    for i, a in enumerate(atoms):
+        if isinstance(a, (Tok, Prop)):
+            t = f"{tag}t{i}"
+            tables.append(f"{tokens} {t}")
+            at(t)
+            bind(a.var, f"{t}.token_id")
+            if isinstance(a, Tok):
+                conds.append(_sql_test(a, t))
+            else:
+                conds.append(f"{t}.{a.prop} IS NOT NULL")
+                bound[a.name] = f"{t}.{a.prop}"
+    for i, a in enumerate(atoms):
+        if isinstance(a, Differ):
+            conds.append(f"{bound[a.a]} <> {bound[a.b]}")
+        if isinstance(a, Not):
+            for k, b in enumerate(_branches(a.atoms)):
+                conds.append(f"NOT EXISTS (SELECT 1 {_sql_body(b, deps, tokens, bound, place, f'{tag}n{i}{k}')[0]})")
+    return f"FROM {', '.join(tables)} WHERE {' AND '.join(conds) or 'true'}", bound, place
+
+
+def as_sql(atoms, columns: dict[str, str], deps: str = "deps", tokens: str = "tokens") -> str:
+    """A SELECT DISTINCT over tables ``deps`` and ``tokens``: place and ``columns`` (name -> expression in
+    which ``{var}`` stands for a variable)."""
+    out = []
+    for b in _branches(atoms):
+        body, bound, place = _sql_body(b, deps, tokens, {}, None, "")
+        shown = [f"{place}.{c} AS {c}" for c in PLACE] + [f"{v.format(**bound)} AS {k}" for k, v in columns.items()]
+        out.append(f"SELECT {', '.join(shown)} {body}")
+    return " UNION ".join(out) if len(out) > 1 else out[0].replace("SELECT ", "SELECT DISTINCT ", 1)
