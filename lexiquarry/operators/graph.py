@@ -137,6 +137,20 @@ def generalize(paths_: DataFrame) -> DataFrame:
     return paths_.withColumn("pattern", F.array_join(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), step)), ", "))
 
 
+def contained(inner: DataFrame, outer: DataFrame, by: list[str], width: int = 64) -> DataFrame:
+    """Interval join: pairs (by, inner_start, inner_end, outer_start, outer_end) with the inner interval
+    [start, end] inside the outer one, in one group.
+
+    Places are cut into cells of ``width``; an outer interval is in all its cells, an inner one in that of
+    its start, so that a group with many intervals is spread and only neighbours meet.
+    """
+    i = inner.select(*by, F.col("start").alias("inner_start"), F.col("end").alias("inner_end")).withColumn("_cell", F.floor(F.col("inner_start") / width))
+    o = outer.select(*by, F.col("start").alias("outer_start"), F.col("end").alias("outer_end")).where("outer_start <= outer_end")
+    o = o.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("outer_start") / width), F.floor(F.col("outer_end") / width))))
+    near = i.join(o, [*by, "_cell"])
+    return near.where("outer_start <= inner_start and inner_end <= outer_end").drop("_cell")
+
+
 def argument_heads(words: DataFrame, edges: DataFrame, by: list[str]) -> DataFrame:
     """Head of an argument's words (by, arg, token_id, pos): adjacent to all others, else its nouns.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import words
+from lexiquarry.operators.graph import generalize, paths
 
 
 def log_length(sentence: Column) -> Column:
@@ -28,10 +29,17 @@ def entailment(a: Column, b: Column) -> Column:
     return F.lit(0.0)
 
 
+def place_of(phrase: Column, sentence: Column) -> Column:
+    """Place (from 1) of the first occurrence of a phrase's words in succession; 0 if there is none."""
+    w, p = words(sentence), words(phrase)
+    starts = F.when(F.size(w) >= F.size(p), F.sequence(F.lit(1), F.size(w) - F.size(p) + 1)).otherwise(F.array().cast("array<int>"))
+    found = F.filter(starts, lambda i: F.slice(w, i, F.size(p)) == p)
+    return F.when(F.size(p) == 0, 0).otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit(0)))
+
+
 def distance(a: Column, b: Column, sentence: Column) -> Column:
-    """Words between the first places of two phrases' first words; null if one is missing."""
-    at = lambda c: F.array_position(words(sentence), F.get(words(c), F.lit(0)))
-    return F.when((at(a) > 0) & (at(b) > 0), F.abs(at(a) - at(b)))
+    """Words between the first places of two phrases, as whole phrases; null if one is missing."""
+    return F.when((place_of(a, sentence) > 0) & (place_of(b, sentence) > 0), F.abs(place_of(a, sentence) - place_of(b, sentence)))
 
 
 PREPOSITIONS = ("for", "of", "to")
@@ -123,6 +131,38 @@ def precision_recall(rows: DataFrame, label: str, predicted: str) -> DataFrame:
     return r.select("n", ratio("ok", "n").alias("accuracy"), ratio("tp", "pp").alias("precision"), ratio("tp", "yy").alias("recall"))
 
 
+def per_class(rows: DataFrame, label: str, predicted: str) -> DataFrame:
+    """(class, support, predicted_n, correct, precision, recall) of every class that is labelled or predicted."""
+    one = rows.select(F.explode(F.array(F.struct(F.col(label).alias("c"), F.lit(1).alias("y"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("c"), F.lit(0).alias("y"), F.lit(1).alias("p")))).alias("x"), (F.col(label) == F.col(predicted)).cast("int").alias("hit"))
+    n = one.groupBy(F.col("x.c").alias("class")).agg(F.sum("x.y").alias("support"), F.sum("x.p").alias("predicted_n"), F.sum(F.col("x.y") * F.col("hit")).alias("correct"))
+    ratio = lambda b: F.when(F.col(b) > 0, F.round(F.col("correct") / F.col(b), 6))
+    return n.withColumns({"precision": ratio("predicted_n"), "recall": ratio("support")})
+
+
+def save(model, path: str) -> None:
+    """Write a fitted pipeline; an older one at ``path`` is replaced."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
+def mine_paths(edges: DataFrame, ends: DataFrame, by: list[str], lengths: tuple[int, ...] = (2, 3, 4), k: int = 10) -> DataFrame:
+    """The ``k`` most frequent generalized paths of each relation: (disrel, pattern, weight).
+
+    ``ends`` (by, disrel, arg1, arg2) are instances; paths of the given lengths from arg1 to arg2 count,
+    each pattern once an instance.
+    """
+    out = None
+    start = ends.select(*by, F.col("arg1").alias("node")).distinct()
+    for n in lengths:
+        p = generalize(paths(edges, by, n, start)).select(*by, F.get("nodes", F.lit(0)).alias("arg1"), F.get("nodes", F.lit(n)).alias("arg2"), "pattern")
+        out = p if out is None else out.unionByName(p)
+    hits = ends.join(out, [*by, "arg1", "arg2"]).select(*by, "disrel", "arg1", "arg2", "pattern").distinct()
+    return top_patterns(hits.groupBy("disrel", "pattern").agg(F.count(F.lit(1)).alias("weight")), ["disrel"], k)
+
+
 def score_relations(rows: DataFrame, model, relations: list[str]) -> DataFrame:
     """Each instance under every relation, best first: (columns, disrel, confidence)."""
     from lexiquarry.operators.search import for_each_relation

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import words
-from lexiquarry.operators import learning, search
+from lexiquarry.operators import graph, learning, search
 from lexiquarry.plans._book import Book
 from lexiquarry.sources.readers import table
 
@@ -338,6 +338,61 @@ def precision_recall(spark, sf_dir):
     return learning.precision_recall(_predicted(spark, sf_dir), "label", "predicted")
 
 
+@book(
+    "class_metrics",
+    f"""WITH p AS ({_PRED}), c AS (SELECT label AS class, 1 AS y, 0 AS p, (label = predicted)::INT AS hit FROM p UNION ALL SELECT predicted, 0, 1, 0 FROM p),
+        s AS (SELECT class, CAST(sum(y) AS BIGINT) AS support, CAST(sum(p) AS BIGINT) AS predicted_n, CAST(sum(y * hit) AS BIGINT) AS correct FROM c GROUP BY class)
+        SELECT *, CASE WHEN predicted_n > 0 THEN round(correct / predicted_n, 6) END AS precision, CASE WHEN support > 0 THEN round(correct / support, 6) END AS recall FROM s""",
+)
+def class_metrics(spark, sf_dir):
+    return learning.per_class(_predicted(spark, sf_dir), "label", "predicted")
+
+
+@book(
+    "phrase_distance",
+    f"""WITH w AS (SELECT conv_id, turn, {_WORDS.format('text')} AS ws FROM conversations), a AS (SELECT conv_id, turn, ws, ws[2:3] AS x, ws[5:5] AS y FROM w WHERE len(ws) >= 5),
+        l AS (SELECT conv_id, turn, list_min(list_filter(range(1, len(ws)), lambda i: ws[i:i+1] = x)) AS i, list_min(list_filter(range(1, len(ws) + 1), lambda i: ws[i:i] = y)) AS j FROM a)
+        SELECT conv_id, turn, CAST(abs(i - j) AS INTEGER) AS distance FROM l""",
+)
+def phrase_distance(spark, sf_dir):
+    """Words between the places of a turn's second and third word, and of its fifth."""
+    ws = words(F.col("text"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", ws.alias("ws")).where(F.size("ws") >= 5)
+    return c.select("conv_id", "turn", learning.distance(F.array_join(F.slice("ws", 2, 2), " "), F.get("ws", F.lit(4)), F.col("text")).alias("distance"))
+
+
+@book(
+    "span_containment",
+    """SELECT a.user_id, a.event_id AS inner_start, a.event_id + 3 AS inner_end, b.event_id AS outer_start, CAST(b.event_id + floor(b.value) AS BIGINT) AS outer_end FROM events a JOIN events b
+       ON a.user_id = b.user_id AND b.event_id <= a.event_id AND a.event_id + 3 <= b.event_id + floor(b.value)""",
+)
+def span_containment(spark, sf_dir):
+    """Short spans at every event inside the spans that events of the same user open."""
+    e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("start"), "value")
+    inner = e.select("user_id", "start", (F.col("start") + 3).alias("end"))
+    return graph.contained(inner, e.select("user_id", "start", (F.col("start") + F.floor("value")).alias("end")), ["user_id"])
+
+
+@book(
+    "path_mining",
+    """WITH l AS (SELECT 'c' || c_custkey AS x, c_nationkey AS n FROM customer UNION ALL SELECT 's' || s_suppkey, s_nationkey FROM supplier),
+       o AS (SELECT DISTINCT o_orderpriority AS disrel, 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+       p AS (SELECT o.disrel, o.a, o.b, CASE WHEN x.n = y.n THEN 'of(_3, _1), of(_3, _2)' ELSE 'has(_4, _3), has(_4, _5), of(_3, _1), of(_5, _2)' END AS pattern
+             FROM o JOIN l x ON x.x = o.a JOIN l y ON y.x = o.b JOIN nation m ON m.n_nationkey = x.n JOIN nation k ON k.n_nationkey = y.n WHERE m.n_regionkey = k.n_regionkey)
+       SELECT disrel, pattern, count(*) AS weight FROM p GROUP BY ALL""",
+)
+def path_mining(spark, sf_dir):
+    """Paths through places between the customers and the suppliers of orders, by priority."""
+    t = lambda name: table(spark, sf_dir, name)
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    edge = lambda df, head, tail, label: df.select(F.lit("world").alias("tree"), head.alias("head"), tail.alias("tail"), F.lit(label).alias("label"))
+    edges = edge(t("nation"), name("r", "n_regionkey"), name("n", "n_nationkey"), "has")
+    edges = edges.unionByName(edge(t("supplier"), name("n", "s_nationkey"), name("s", "s_suppkey"), "of")).unionByName(edge(t("customer"), name("n", "c_nationkey"), name("c", "c_custkey"), "of"))
+    li = t("lineitem").select("l_orderkey", name("s", "l_suppkey").alias("arg2"))
+    ends = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("disrel"), name("c", "o_custkey").alias("arg1")).join(li, F.col("o_orderkey") == F.col("l_orderkey"))
+    return learning.mine_paths(edges, ends.select(F.lit("world").alias("tree"), "disrel", "arg1", "arg2").distinct(), ["tree"])
+
+
 @book(
     "nominal_to_binary",
     "SELECT event_id, (event_type = 'click')::INT AS is_click, (event_type = 'view')::INT AS is_view, (event_type = 'purchase')::INT AS is_purchase, (event_type = 'error')::INT AS is_error FROM events",

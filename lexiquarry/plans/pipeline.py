@@ -176,6 +176,19 @@ def _numbered(inputs):
     return [split_runs(parse_numbered(inputs[0]), ["source"], ["line_no"], "section")]
 
 
+def run_each(stage: Registered, lines: DataFrame, path: str) -> None:
+    """A stage of one input and one output over every file of ``lines`` (source, line_no, line): one output
+    folder ``source=..`` a file below the directory ``path``, with its lines in order."""
+    if stage.inputs != 1 or stage.outputs != 1:
+        raise PipelineError(f"{stage.name} is not a stage of one input and one output")
+    fs_path = lines.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = fs_path.getFileSystem(lines.sparkSession.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(fs_path) and not fs.getFileStatus(fs_path).isDirectory():
+        raise PipelineError(f"{path} is a file; several sources need a directory")
+    out = stage.run([lines])[0]
+    out.repartition("source").sortWithinPartitions("source", "line_no").select("source", out["line"].alias("value")).write.partitionBy("source").mode("overwrite").text(path)
+
+
 def run_text(pipeline: Pipeline, spark, inputs: Mapping[str, str]) -> str:
     """The service call: named input texts in, the first output's lines as one text out.
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +57,13 @@ def memory_lines(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(rows, "source string, line_no int, line string")
 
 
+def stdin_lines(spark: SparkSession, stream=None) -> DataFrame:
+    """Standard input of the driver, or another open text stream, as one source (bounded: it is read whole)."""
+    import sys
+
+    return memory_lines(spark, {"stdin": (stream or sys.stdin).read().removesuffix("\n")})
+
+
 def corpus_name(c):
     """A description up to its last '.', if that is not its first character."""
     return F.regexp_replace(c, r"^(.+)\.[^.]*$", "$1")
@@ -191,6 +201,69 @@ def turtle(lines: DataFrame) -> DataFrame:
     )
 
 
+_TURTLE = re.compile(
+    r"""(?P<skip>\s+|\#[^\n]*)|(?P<prefix>@prefix\s+([\w.-]*):\s*<([^>]*)>\s*\.)|<(?P<uri>[^>\s]*)>
+      |(?P<long>\"{3}(?P<text3>(?:[^"\\]|\\.|"(?!""))*)\"{3}|"(?P<text>(?:[^"\\\n]|\\.)*)")(?:\^\^(?:<(?P<type>[^>]*)>|(?P<short>[\w.-]*:[\w.-]*))|@[\w-]+)?
+      |(?P<number>[+-]?\d+(?![\w.:]*:))|(?P<name>[\w.-]*:[\w./%-]*[\w/%-]|[\w.-]*:|a(?=[\s<]))|(?P<mark>[.;,])""",
+    re.VERBOSE,
+)
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
+
+
+def parse_turtle(text: str) -> list[tuple[str, str, str, str]]:
+    """(s, p, o, o_kind) of a Turtle text with prefixes, ``;`` and ``,`` lists, comments, literals and ``a``.
+
+    Prefixed names become whole URIs if their prefix is declared, else stay as written.
+    """
+    prefixes: dict[str, str] = {}
+    full = lambda n: prefixes[n.partition(":")[0]] + n.partition(":")[2] if n.partition(":")[0] in prefixes else n
+    out, terms, at = [], [], 0
+    while at < len(text):
+        m = _TURTLE.match(text, at)
+        if not m:
+            raise ValueError(f"line {text.count(chr(10), 0, at) + 1}: not Turtle: {text[at : at + 20]!r}")
+        at = m.end()
+        if m["skip"]:
+            continue
+        if m["prefix"]:
+            prefixes[m[3]] = m[4]
+        elif m["mark"]:
+            if len(terms) != 3:
+                if m["mark"] in ";." and len(terms) in (0, 1):  # an empty list entry before the end
+                    terms = terms if m["mark"] == ";" else []
+                    continue
+                raise ValueError(f"line {text.count(chr(10), 0, at) + 1}: a triple has three parts")
+            (s, _), (p, _), (o, kind) = terms
+            out.append((s, p, o, kind))
+            terms = {".": [], ";": terms[:1], ",": terms[:2]}[m["mark"]]
+        elif m["long"]:
+            body = m["text3"] if m["text3"] is not None else m["text"]
+            body = re.sub(r"\\(u[0-9A-Fa-f]{4}|.)", lambda e: chr(int(e[1][1:], 16)) if e[1][0] == "u" and len(e[1]) == 5 else _ESCAPES.get(e[1], e[1]), body, flags=re.S)
+            terms.append((body, "integer" if (m["type"] or m["short"] or "").endswith("integer") else "string"))
+        elif m["number"]:
+            terms.append((m["number"], "integer"))
+        else:
+            uri = m["uri"] if m["uri"] is not None else "rdf:type" if m["name"] == "a" else full(m["name"])
+            terms.append((uri, "uri"))
+    if terms:
+        raise ValueError("the last triple is not closed")
+    return out
+
+
+def turtle_documents(texts: DataFrame) -> DataFrame:
+    """Whole Turtle texts (source, value) as (source, s, p, o, o_kind); a text that is not Turtle is an error."""
+    from lexiquarry.session import ship
+
+    ship(texts.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            rows = [(s, *t) for s, v in zip(b["source"], b["value"]) for t in parse_turtle(v or "")]
+            yield pd.DataFrame(rows, columns=["source", "s", "p", "o", "o_kind"])
+
+    return texts.select("source", "value").mapInPandas(run, "source string, s string, p string, o string, o_kind string")
+
+
 #: A token vertex: namespace#corpus/sentence_token.
 VERTEX = r"/id#([^/]+)/(\d+)_(\d+)$"
 

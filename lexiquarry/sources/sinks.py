@@ -12,6 +12,12 @@ def text(df: DataFrame, path: str, line: str = "line") -> None:
     df.select(F.col(line).alias("value")).write.mode("overwrite").text(path)
 
 
+def sections(rows: DataFrame, path: str, prefix: str, suffix: str = "", section: str = "section_index", order: str = "line_no", line: str = "line") -> None:
+    """One text output per section, ``{prefix}-{n}{suffix}`` (a folder ``file=..`` below ``path``), in line order."""
+    named = rows.select(F.concat(F.lit(f"{prefix}-"), F.col(section).cast("string"), F.lit(suffix)).alias("file"), F.col(order).alias("_at"), F.col(line).alias("value"))
+    named.repartition("file").sortWithinPartitions("file", "_at").drop("_at").write.partitionBy("file").mode("overwrite").text(path)
+
+
 def commit_dataset(outputs: dict[str, DataFrame], root: str) -> None:
     """All outputs of a dataset or none: written to a staging folder that is renamed at the end.
 
