@@ -66,33 +66,7 @@ class ByteConvNet:
             order = rng.permutation(len(x))
             for at in range(0, len(x), batch):
                 rows = order[at : at + batch]
-                xb, yb = x[rows], y[rows]
-                pooled, where = [], []
-                for w, c in zip(WIDTHS, self.conv):
-                    n = WINDOW - w + 1
-                    a = c[0][xb[:, :n]]
-                    for o in range(1, w):
-                        a = a + c[o][xb[:, o : o + n]]
-                    p = a.argmax(axis=1)
-                    where.append(p)
-                    pooled.append(np.take_along_axis(a, p[:, None, :], axis=1)[:, 0])
-                z = np.concatenate(pooled, axis=1)
-                r = np.maximum(z, 0)
-                s = r @ self.dense + self.bias
-                s = np.exp(s - s.max(axis=1, keepdims=True))
-                s /= s.sum(axis=1, keepdims=True)
-                s[np.arange(len(yb)), yb] -= 1
-                s /= len(yb)
-                grads = [np.zeros_like(p) for p in params]
-                grads[-2][:] = r.T @ s
-                grads[-1][:] = s.sum(axis=0)
-                back = (s @ self.dense.T) * (z > 0)
-                for k, (w, p) in enumerate(zip(WIDTHS, where)):
-                    g = back[:, k * FILTERS : (k + 1) * FILTERS]
-                    col = np.broadcast_to(np.arange(FILTERS), p.shape)
-                    for o in range(w):
-                        np.add.at(grads[k][o], (np.take_along_axis(xb, p + o, axis=1), col), g)
-                    grads[k][:, 0] = 0
+                grads = self.gradients(x[rows], y[rows])
                 step += 1
                 rate = lr * (1 - epoch / epochs)
                 for p, g, a, b in zip(params, grads, m, v):
@@ -100,6 +74,36 @@ class ByteConvNet:
                     b += 0.001 * (g * g - b)
                     p -= (rate / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.999**step)) + 1e-7)
 
+    def gradients(self, xb: np.ndarray, yb: np.ndarray) -> list[np.ndarray]:
+        """Gradients of the mean cross-entropy of a batch by all parameters (none by the padding byte)."""
+        pooled, where = [], []
+        for w, c in zip(WIDTHS, self.conv):
+            n = WINDOW - w + 1
+            a = c[0][xb[:, :n]]
+            for o in range(1, w):
+                a = a + c[o][xb[:, o : o + n]]
+            p = a.argmax(axis=1)
+            where.append(p)
+            pooled.append(np.take_along_axis(a, p[:, None, :], axis=1)[:, 0])
+        z = np.concatenate(pooled, axis=1)
+        r = np.maximum(z, 0)
+        s = r @ self.dense + self.bias
+        s = np.exp(s - s.max(axis=1, keepdims=True))
+        s /= s.sum(axis=1, keepdims=True)
+        s[np.arange(len(yb)), yb] -= 1
+        s /= len(yb)
+        grads = [np.zeros_like(p) for p in (*self.conv, self.dense, self.bias)]
+        grads[-2][:] = r.T @ s
+        grads[-1][:] = s.sum(axis=0)
+        back = (s @ self.dense.T) * (z > 0)
+        for k, (w, p) in enumerate(zip(WIDTHS, where)):
+            g = back[:, k * FILTERS : (k + 1) * FILTERS]
+            col = np.broadcast_to(np.arange(FILTERS), p.shape)
+            for o in range(w):
+                np.add.at(grads[k][o], (np.take_along_axis(xb, p + o, axis=1), col), g)
+            grads[k][:, 0] = 0
+        return grads
+
     def prepare(self) -> None:
         """Fold successive bytes into pair tables: one gather serves two bytes."""
         pair = lambda a, b: (a[:, None, :] + b[None, :, :]).reshape(65536, FILTERS)

@@ -94,6 +94,20 @@ class _Rows:
         return np.bincount(self.flat, np.repeat(g, np.diff(self.at)), minlength=size)
 
 
+def risk(sp: np.ndarray, su: np.ndarray, prior: float) -> float:
+    """The non-negative estimate of the logistic risk from scores of toxic and of unlabelled texts."""
+    negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
+    return float(prior * np.logaddexp(0, -sp).mean() + max(0.0, negative))
+
+
+def step_gradient(sp: np.ndarray, su: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By score: the gradient of :func:`risk`, or, where the estimate of the negative risk has fallen below
+    zero, the step back that raises it (its own gradient, reversed)."""
+    if np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean() >= 0:
+        return np.full(len(sp), -prior / len(sp)), _sig(su) / len(su)
+    return prior * _sig(sp) / len(sp), -_sig(su) / len(su)
+
+
 def _risk01(sp: np.ndarray, su: np.ndarray, prior: float, at: np.ndarray) -> np.ndarray:
     """Non-negative estimate of the 0-1 risk at each threshold of ``at``."""
     tpr = 1 - np.searchsorted(np.sort(sp), at, side="left") / len(sp)
@@ -136,12 +150,7 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, epochs: int
             if not len(pb) or not len(ub):
                 continue
             p, u = p_all.take(pb), u_all.take(ub)
-            sp, su = p.scores(w, b), u.scores(w, b)
-            negative = np.logaddexp(0, su).mean() - prior * np.logaddexp(0, sp).mean()
-            if negative >= 0:
-                gp, gu = np.full(len(pb), -prior / len(pb)), _sig(su) / len(ub)
-            else:  # the estimate of the negative risk fell below zero: step back
-                gp, gu = prior * _sig(sp) / len(pb), -_sig(su) / len(ub)
+            gp, gu = step_gradient(p.scores(w, b), u.scores(w, b), prior)
             g = p.spread(gp, len(w)) + u.spread(gu, len(w)) + 1e-4 * w
             gb = gp.sum() + gu.sum()
             step += 1
