@@ -87,7 +87,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: Column | list[str], how:
 
 
 #: Most rows and bytes of an Arrow batch: a batch of texts exists several times over in a worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

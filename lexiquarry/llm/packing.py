@@ -46,7 +46,7 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 #: Bytes of text that are looked up at a time, and distinct pieces of words that a worker remembers.
-CHUNK, REMEMBERED = 8_000_000, 400_000
+CHUNK, REMEMBERED = 2_000_000, 200_000
 #: Classes of bytes. WHOLE marks what only the tokenizer itself may divide.
 WHITE, LETTER, DIGIT, OTHER, WHOLE = range(5)
 
