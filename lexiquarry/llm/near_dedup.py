@@ -8,8 +8,8 @@ Hamming distance of two sketches is at most the size of the symmetric difference
 sets of sizes a and b is at most (a + b) / 9. The sketch of a size band is K wide, sparse words. A set
 may differ from a linked one in at most D words (D from its size), so of its K (place, word) items
 any D + e contain e common ones if both sides choose them in one common order. The order puts items
-with many bits of uncommon shingles first and empty ones last; a sample tells which shingles (of
-lines and passages that many documents share) are common. A set emits its first D + e items in its
+with many bits of uncommon shingles first and empty ones last; counts over all texts tell which shingles
+(of lines and passages that many documents share) are common. A set emits its first D + e items in its
 band, and in the next band if a linked set may lie there; a pair with fewer than e common items (e is
 1 to 3 by band) is no link. No link is lost.
 
@@ -55,8 +55,9 @@ BLOCK = 1024
 PARTNERS, EDGES = 512, 2_000_000
 #: What the keys that linked sets share must weigh; a key's last two bits are its weight.
 ENOUGH = 3
-#: Shingles in the sample that tells common ones, about; bits and slices of the table that holds them.
-SAMPLE_SHINGLES, TABLE_BITS, TABLE_SLICES = 32_000_000, 27, 5
+#: Bits of the table of common shingles, and of the number of its slices: at least, and at most (one slice
+#: for every SLICE_BYTES of text, about); one in CROWDED positions may look common by chance.
+TABLE_BITS, TABLE_SLICES, MOST_SLICES, SLICE_BYTES, CROWDED = 27, 6, 12, 32 << 20, 4
 #: Entries a reducer holds before it compacts them.
 HOLD = 6_000_000
 
@@ -120,19 +121,20 @@ def items(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def common_shingles(docs: DataFrame, shingles: int, text: str, doc_id: str) -> np.ndarray:
-    """Bitmap of hashed shingles that two or more different sets of a sample have.
+def common_shingles(docs: DataFrame, size: int, text: str, doc_id: str) -> np.ndarray:
+    """Bitmap of hashed shingles that two or more different sets have, counted over all documents
+    (``size`` bytes of text).
 
-    They only rank items (any ranking finds every link), so a sample is enough: documents are drawn by
-    hash so that about SAMPLE_SHINGLES shingles are seen. The bitmap has 2**TABLE_BITS bits, whatever
-    the input; each reducer makes its slice of it with two flags a position.
+    The bitmap has 2**TABLE_BITS positions, whatever the input. Shingles that share a position are
+    counted together; where the input fills the table, a position is common from two sets above the
+    level that all but one in CROWDED positions keep (0 in a table that is not full). A set that
+    several tasks read counts once for each. Flags only rank items: any ranking finds every link.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     rows = docs.select(F.col(doc_id).cast("long").alias("i"), t.alias("text"))
-    rate = int(min(1.0, SAMPLE_SHINGLES / max(1, shingles)) * (1 << 30))
-    rows = rows.where(F.pmod(F.xxhash64("i", F.lit(31)), F.lit(1 << 30)) < rate)
-    low = TABLE_BITS - TABLE_SLICES
-    kinds = (pa.int32(), pa.binary(), pa.binary())
+    cut = max(TABLE_SLICES, min(MOST_SLICES, (size // SLICE_BYTES).bit_length()))
+    low = TABLE_BITS - cut
+    names, kinds = ["p", "at", "more", "extra"], (pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
     def deal(batches):
         memo, known = word_memo(), set()
@@ -147,26 +149,26 @@ def common_shingles(docs: DataFrame, shingles: int, text: str, doc_id: str) -> n
                         sets.append(s)
                 if not sets:
                     continue
-                pos, n = np.unique(np.concatenate(sets) >> U(64 - TABLE_BITS), return_counts=True)
-                again, pos = n > 1, pos.astype(np.uint32)
-                edge = np.searchsorted(pos >> np.uint32(low), np.arange((1 << TABLE_SLICES) + 1))
-                out = [(p, pos[a:b].tobytes(), pos[a:b][again[a:b]].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["p", "once", "twice"])
+                pos, n = np.unique((np.concatenate(sets) >> U(64 - TABLE_BITS)).astype(np.uint32), return_counts=True)
+                again, extra = n > 1, (n - 1).astype(np.uint32)
+                edge = np.searchsorted(pos >> np.uint32(low), np.arange((1 << cut) + 1))
+                out = [(p, pos[a:b].tobytes(), pos[a:b][again[a:b]].tobytes(), extra[a:b][again[a:b]].tobytes()) for p, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if b > a]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     def collect(batches):
-        flags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        mask = np.uint32((1 << low) - 1)
+        counts: dict[int, np.ndarray] = {}
+        mask, calm = np.uint32((1 << low) - 1), (1 << low) - 1 - (1 << low) // CROWDED
         for b in batches:
-            for p, one, two in zip(*(b.column(k).to_pylist() for k in ("p", "once", "twice"))):
-                once, twice = flags.setdefault(p, (np.zeros(1 << low, bool), np.zeros(1 << low, bool)))
-                at = np.frombuffer(one, np.uint32) & mask
-                twice[at[once[at]]] = True
-                once[at] = True
-                twice[np.frombuffer(two, np.uint32) & mask] = True
-        if flags:
-            yield pa.RecordBatch.from_arrays([pa.array(list(flags), pa.int32()), pa.array([np.packbits(t).tobytes() for _, t in flags.values()], pa.binary())], names=["p", "bits"])
-
-    dealt = arrow_map(rows, deal, "p int, once binary, twice binary").repartition(1 << TABLE_SLICES, "p")
+            for p, at, more, extra in zip(*(b.column(k).to_pylist() for k in names)):
+                if p not in counts:
+                    counts[p] = np.zeros(1 << low, np.uint32)
+                counts[p][np.frombuffer(at, np.uint32) & mask] += np.uint32(1)  # a row has a position once
+                counts[p][np.frombuffer(more, np.uint32) & mask] += np.frombuffer(extra, np.uint32)
+        for p, n in counts.items():
+            bits = np.packbits(n >= np.partition(n, calm)[calm] + np.uint32(2)).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([bits], pa.binary())], names=["p", "bits"])
+
+    dealt = arrow_map(rows, deal, "p int, at binary, more binary, extra binary").repartition(1 << cut, "p")
     table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)
     for r in arrow_map(dealt, collect, "p int, bits binary").collect():  # 2**TABLE_BITS bits in all
         table[r.p << (low - 3) : (r.p + 1) << (low - 3)] = np.frombuffer(r.bits, np.uint8)
@@ -521,7 +523,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     reducers = max(width(spark), size // 18 // REDUCER_KEYS)  # a byte of text makes about 1/18 key
-    both = materialize(classes(docs, int(reducers) * SLICES, common_shingles(docs, size // 6, text, doc_id), text, doc_id), "near-classes")
+    both = materialize(classes(docs, int(reducers) * SLICES, common_shingles(docs, size, text, doc_id), text, doc_id), "near-classes")
     rows = materialize(both.where(F.col("p").isNull()).select("doc_id", "th", "n", "c", "sk"), "near-rows")
     total = rows.count()
     dealt = both.where(F.col("p").isNotNull()).select("p", "blob").repartition(int(reducers), "p")

@@ -129,3 +129,42 @@ def test_hot_partner_and_very_long_texts(docs, monkeypatch):
     long = [f"l{rng.randrange(10**6)}" for _ in range(60_000)]
     rows += [(100, " ".join(long)), (101, " ".join(long[:-3000])), (102, " ".join(long[:-20_000]))]
     assert run(docs(*rows)) == brute(rows)
+
+
+def flagged(table):
+    return np.flatnonzero(np.unpackbits(table))
+
+
+def test_common_shingles_are_counted_over_all_texts(docs, monkeypatch):
+    """The table that ranks items holds every shingle of two sets or more, whatever the input's size."""
+    tables, plain = [], N.classes
+    monkeypatch.setattr(N, "classes", lambda docs, slices, common, *a: tables.append(common) or plain(docs, slices, common, *a))
+    monkeypatch.setattr(N, "SAMPLE_SHINGLES", 100, raising=False)  # no sample, however small, stands for the rest
+    rows = corpus(random.Random(6), 120)
+    assert run(docs(*rows)) == brute(rows)
+    memo = N.word_memo()
+    sets = {s.tobytes(): s for s in (N.shingle_set(t.encode(), memo) for _, t in rows)}
+    pos, n = np.unique(np.concatenate([s >> np.uint64(64 - N.TABLE_BITS) for s in sets.values()]), return_counts=True)
+    # A set that two tasks read counts twice: nothing that sets share may be missing.
+    assert (n > 1).sum() > 1000 and set(pos[n > 1].tolist()) <= set(flagged(tables[0]).tolist()) <= set(pos.tolist())
+    assert np.array_equal(tables[0], N.common_shingles(docs(*rows), 4 << 30, "text", "doc_id"))  # more slices
+
+
+def test_full_table_still_tells_common_shingles(docs, monkeypatch):
+    """With 40 shingles a position, those of a passage that all texts share are common, most others not."""
+    monkeypatch.setattr(N, "TABLE_BITS", 12)
+    monkeypatch.setattr(N, "TABLE_SLICES", 2)
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(24))
+    rows = [(k, passage + " " + " ".join(f"r{rng.randrange(10**9)}" for _ in range(400))) for k in range(400)]
+    table = flagged(N.common_shingles(docs(*rows), 1 << 20, "text", "doc_id"))
+    shared = N.shingle_set(passage.encode(), N.word_memo()) >> np.uint64(52)
+    assert set(shared.tolist()) <= set(table.tolist()) and len(table) <= (1 << 12) // 4 + len(shared)
+
+
+def test_any_table_finds_the_same_links(docs, monkeypatch):
+    rows = corpus(random.Random(7), 60)
+    for fill in (0, 255, None):
+        table = np.random.default_rng(1).integers(0, 256, 1 << (N.TABLE_BITS - 3), dtype=np.uint8) if fill is None else np.full(1 << (N.TABLE_BITS - 3), fill, np.uint8)
+        monkeypatch.setattr(N, "common_shingles", lambda *a: table)
+        assert run(docs(*rows)) == brute(rows)
