@@ -5,8 +5,8 @@ from collections import Counter
 
 import corpus_pipeline as P
 import pytest
-from lexiquarry.llm import line_dedup, quality_classifier
-from test_near_dedup import brute as brute_near
+from lexiquarry.llm import line_dedup, near_dedup, quality_classifier
+from test_near_dedup import brute as brute_near, flagged
 from lexiquarry.llm._scratch import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +42,19 @@ def test_edge_rows(spark, docs):
     assert P.near(spark, rows.limit(0), SF).count() == 0
 
 
+def test_near_counts_common_shingles_over_all_texts(spark, docs, monkeypatch):
+    tables, plain = [], near_dedup.classes
+    monkeypatch.setattr(near_dedup, "classes", lambda docs, slices, common, *a: tables.append(common) or plain(docs, slices, common, *a))
+    monkeypatch.setattr(near_dedup, "SAMPLE_SHINGLES", 100, raising=False)  # no sample stands for the rest
+    words = [f"v{k}" for k in range(900)]
+    rows = [(k, " ".join(words[30 * k : 30 * k + 60])) for k in range(28)] + [(50, " ".join(words[:59]))]  # each shares half with the next
+    assert sorted(r.doc_id for r in P.near(spark, docs(*rows), SF).collect()) == sorted({low for _, _, low in brute_near(rows)})
+    memo, counts = near_dedup.word_memo(), Counter()
+    for _, t in rows:
+        counts.update((near_dedup.shingle_set(t.encode(), memo) >> near_dedup.U(64 - near_dedup.TABLE_BITS)).tolist())
+    assert set(flagged(tables[0]).tolist()) == {at for at, n in counts.items() if n > 1}
+
+
 def brute_mix(rows):
     """(doc_id, words) of every use in the order of training, from rows (doc_id, text, lang, source)."""
     size = {i: len((t or "").split()) for i, t, *_ in rows}
