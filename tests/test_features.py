@@ -98,3 +98,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.part for r in spark.table("defs").collect()) == ["A gill breathes", "a part."]
+
+
+def test_facts_scan_no_further_than_asked():
+    """The tail of a long sentence is not scanned, and the facts are those of whole scans."""
+    import random
+    import time
+
+    rng = random.Random(7)
+    vocabulary = "a the slope is ratio of rise with that which when where steep run running , : and to water by used for such as causes it grounds".split()
+    found = 0
+    for _ in range(300):
+        tokens = K.surrogate_tokens(" ".join(["slope", rng.choice(("is", ":")), "a", *rng.choices(vocabulary, k=rng.randint(1, 14))]))
+        whole = K.run_cascade(tokens, K.LEVELS)
+        lazy = K.Lazy(tokens, {k: K.Scan(k, p) for level in K.LEVELS for k, p in level})
+        for level in reversed(K.LEVELS):
+            for kind, _ in level:
+                assert [s for s in whole.spans if s.kind == kind] == lazy.upto(kind, len(tokens)), (kind, tokens)
+        top = next((k for k in K.KINDS if any(s.kind == k for s in whole.spans)), None)
+        assert (top is None) == (not K.facts(tokens))
+        found += top is not None
+    assert found > 50
+    long = K.surrogate_tokens("Rain is water that falls . " + " ".join(rng.choices(vocabulary, k=60_000)))
+    began = time.process_time()
+    assert ("IsA", "Rain", "isa", "water", "") in K.facts(long)
+    assert time.process_time() - began < 2
