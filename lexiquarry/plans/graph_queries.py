@@ -260,8 +260,7 @@ def paths_len_k(spark, sf_dir):
 )
 def path_patterns(spark, sf_dir):
     """Generalized paths of two edges and how often each occurs."""
-    p = graph.generalize(graph.paths(_number_edges(spark, sf_dir), ["place"], 2))
-    return p.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    return graph.two_step_patterns(_number_edges(spark, sf_dir), ["place"])
 
 
 @book(
