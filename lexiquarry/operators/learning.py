@@ -30,16 +30,20 @@ def entailment(a: Column, b: Column) -> Column:
 
 
 def place_of(phrase: Column, sentence: Column) -> Column:
-    """Place (from 1) of the first occurrence of a phrase's words in succession; 0 if there is none."""
-    w, p = words(sentence), words(phrase)
-    starts = F.when(F.size(w) >= F.size(p), F.sequence(F.lit(1), F.size(w) - F.size(p) + 1)).otherwise(F.array().cast("array<int>"))
-    found = F.filter(starts, lambda i: F.slice(w, i, F.size(p)) == p)
-    return F.when(F.size(p) == 0, 0).otherwise(F.coalesce(F.get(found, F.lit(0)), F.lit(0)))
+    """Place (from 1) of the first occurrence of a phrase's words in succession; 0 if there is none.
+
+    Words have no space, so they are looked for as one text between spaces: linear in the sentence.
+    """
+    said = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
+    found = lambda w, p: F.call_function("instr", w, p)
+    at = lambda w, p: F.when((F.length(p) > 2) & (found(w, p) > 0), F.size(F.split(F.substring(w, F.lit(1), found(w, p)), " ")) - 1).otherwise(0)
+    return at(said(sentence), said(phrase))
 
 
 def distance(a: Column, b: Column, sentence: Column) -> Column:
     """Words between the first places of two phrases, as whole phrases; null if one is missing."""
-    return F.when((place_of(a, sentence) > 0) & (place_of(b, sentence) > 0), F.abs(place_of(a, sentence) - place_of(b, sentence)))
+    both = F.transform(F.array(F.struct(place_of(a, sentence).alias("a"), place_of(b, sentence).alias("b"))), lambda x: F.when((x["a"] > 0) & (x["b"] > 0), F.abs(x["a"] - x["b"])))
+    return F.get(both, F.lit(0))
 
 
 PREPOSITIONS = ("for", "of", "to")

@@ -103,3 +103,43 @@ def test_places_of_phrases(spark):
     r = spark.createDataFrame([("a b c a d", "c a", "b"), ("a b", "b c", "a"), ("a", "", "a"), ("", "a", "a")], "s string, x string, y string")
     got = r.select(L.place_of(F.col("x"), F.col("s")), L.distance(F.col("x"), F.col("y"), F.col("s"))).collect()
     assert [tuple(x) for x in got] == [(3, 1), (0, None), (0, None), (0, None)]
+
+
+def test_places_of_phrases_are_those_of_a_plain_loop(spark):
+    """First places in words; a sentence of 100,000 words is read once, not once a word."""
+    import random
+    import time
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(1)
+    words = ["a", "b", "ab", "é", "a b"]
+    rows = [(" ".join(rng.choices(words, k=rng.randint(0, 3))), "\t ".join(rng.choices(words, k=rng.randint(0, 9)))) for _ in range(200)] + [(None, "a"), ("a", None), ("b c", "ab c")]
+    got = spark.createDataFrame(rows, "p string, s string").select("p", "s", L.place_of(F.col("p"), F.col("s")).alias("at"), L.distance(F.lit("a"), F.col("p"), F.col("s")).alias("d")).collect()
+
+    def place(p, s):
+        cut = lambda x: [w for w in x.replace("\t", " ").split(" ") if w]
+        if p is None or s is None or not cut(p):
+            return 0
+        return next((i + 1 for i in range(len(cut(s))) if cut(s)[i : i + len(cut(p))] == cut(p)), 0)
+
+    for r in got:
+        a, b = place("a", r.s), place(r.p, r.s)
+        assert (r["at"], r.d) == (b, abs(a - b) if a and b else None), (r.p, r.s)
+    long = spark.createDataFrame([("x y", "a b " * 50_000 + "x y")], "p string, s string")
+    began = time.time()
+    assert long.select(L.place_of(F.col("p"), F.col("s"))).first()[0] == 100_001
+    assert time.time() - began < 20
+
+
+def test_tuples_of_a_long_row_do_not_carry_the_row(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    row = "\t".join(str(i) for i in range(9 + 12 * 20_000 + 9))
+    began = time.time()
+    got = readers.strided(spark.createDataFrame([(1, row), (2, "x"), (3, None)], "k int, line string"), "line", "\t", "k")
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("sen").cast("int") == F.col("at") + 6).cast("int")).alias("ok"), F.max("at").alias("last")).first()
+    assert tuple(r) == (20_001, 20_001, 9 + 12 * 20_000)
+    assert time.time() - began < 30
