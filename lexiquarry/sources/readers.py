@@ -98,12 +98,14 @@ STRIDE_FIELDS = {"arg1": 0, "kp": 1, "arg2": 2, "sen": 6}
 
 
 def strided(lines: DataFrame, line: str = "line", sep: str = "\t", *keep: str) -> DataFrame:
-    """Tuples packed side by side in a row: one output row per tuple."""
-    f = F.split(F.col(line), sep)
-    last = F.size(f) - STRIDE_START
-    starts = F.when(last >= STRIDE_START, F.sequence(F.lit(STRIDE_START), last, F.lit(STRIDE)))
-    rows = lines.select(*keep, f.alias("_f"), F.explode(starts).alias("at"))
-    return rows.select(*keep, F.col("at"), *[F.get(F.col("_f"), F.col("at") + o).alias(n) for n, o in STRIDE_FIELDS.items()])
+    """Tuples packed side by side in a row: one output row per tuple. A row is cut once, and a tuple takes
+    its fields along, not the whole row's."""
+    last = lambda f: F.size(f) - STRIDE_START
+    made = lambda f: F.transform(
+        F.sequence(F.lit(STRIDE_START), last(f), F.lit(STRIDE)), lambda at: F.struct(at.alias("at"), *[F.get(f, at + o).alias(n) for n, o in STRIDE_FIELDS.items()])
+    )
+    each = F.get(F.transform(F.array(F.split(F.col(line), sep)), lambda f: F.when(last(f) >= STRIDE_START, made(f))), F.lit(0))
+    return lines.select(*keep, F.explode(each).alias("_t")).select(*keep, "_t.*")
 
 
 def id_sentences(lines: DataFrame) -> DataFrame:
