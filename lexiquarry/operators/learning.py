@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiquarry.functions.text import words
-from lexiquarry.operators.graph import generalize, symmetric
+from lexiquarry.operators.graph import generalize, onward, symmetric
+from lexiquarry.session import cut
 
 
 def log_length(sentence: Column) -> Column:
@@ -158,22 +159,25 @@ def mine_paths(edges: DataFrame, ends: DataFrame, by: list[str], lengths: tuple[
     ``ends`` (by, disrel, arg1, arg2) are instances; paths of the given lengths from arg1 to arg2 count,
     each pattern once an instance.
     """
-    out, sym = None, symmetric(edges, by)
-    # A node between two others has two neighbours: others are never walked through. The last step is
-    # not walked at all, but looked up by the instance's two ends.
-    inner = sym.groupBy(*by, F.col("a").alias("b")).agg((F.min("b") < F.max("b")).alias("_two")).where("_two").drop("_two")
-    onward = sym.join(inner, [*by, "b"], "left_semi").select(*by, F.col("a").alias("end"), F.col("b").alias("_n"), F.col("label").alias("_l"), F.col("down").alias("_d"))
-    last = sym.select(*by, F.col("a").alias("end"), F.col("b").alias("arg2"), F.col("label").alias("_l"), F.col("down").alias("_d"))
+    # A node between two others has two neighbours: others are never walked through. The last step is not
+    # walked, but looked up by the instance's end: instances meet the last steps once and the walks to their
+    # other ends once, whatever the length. Both ends need not go with the nodes between.
+    sym, most = cut(symmetric(edges, by).distinct()), max(lengths)
+    through = onward(sym, by).select(*by, F.col("a").alias("end"), F.col("b").alias("_n"), F.col("label").alias("_l"), F.col("down").alias("_d"))
     none = F.array()
-    walk = ends.select(*by, "arg1", F.array("arg1").alias("nodes"), none.cast("array<string>").alias("labels"), none.cast("array<boolean>").alias("downs"), F.col("arg1").alias("end")).distinct()
-    grown = lambda node: [F.concat("nodes", F.array(node)).alias("nodes"), F.concat("labels", F.array("_l")).alias("labels"), F.concat("downs", F.array("_d")).alias("downs")]
-    for n in range(1, max(lengths) + 1):
+    starts = ends.select(*by, "arg1").distinct()
+    walk = starts.select("*", F.array("arg1").alias("nodes"), none.cast("array<string>").alias("labels"), none.cast("array<boolean>").alias("downs"), F.col("arg1").alias("end"))
+    walks = None
+    for n in range(1, most + 1):
         if n in lengths:
-            closed = ends.join(walk, [*by, "arg1"]).join(last, [*by, "end", "arg2"]).where(~F.array_contains("nodes", F.col("arg2")))
-            found = generalize(closed.select(*by, "disrel", "arg1", "arg2", *grown("arg2"))).select(*by, "disrel", "arg1", "arg2", "pattern")
-            out = found if out is None else out.unionByName(found)
-        step = walk.join(onward, [*by, "end"]).where(~F.array_contains("nodes", F.col("_n")))
-        walk = step.select(*by, "arg1", *grown("_n"), F.col("_n").alias("end"))
+            walks = walk if walks is None else walks.unionByName(walk)
+        if n < most:
+            step = walk.join(through, [*by, "end"]).where(~F.array_contains("nodes", F.col("_n")))
+            walk = step.select(*by, "arg1", F.concat("nodes", F.array("_n")).alias("nodes"), F.concat("labels", F.array("_l")).alias("labels"), F.concat("downs", F.array("_d")).alias("downs"), F.col("_n").alias("end"))
+    last = sym.select(*by, F.col("b").alias("arg2"), F.col("a").alias("end"), F.col("label").alias("_l"), F.col("down").alias("_d"))
+    closed = ends.join(last, [*by, "arg2"]).join(walks, [*by, "arg1", "end"]).where(~F.array_contains("nodes", F.col("arg2")))
+    grown = closed.select(*by, "disrel", "arg1", "arg2", F.concat("labels", F.array("_l")).alias("labels"), F.concat("downs", F.array("_d")).alias("downs"))
+    out = generalize(grown).select(*by, "disrel", "arg1", "arg2", "pattern")
     return top_patterns(out.distinct().groupBy("disrel", "pattern").agg(F.count(F.lit(1)).alias("weight")), ["disrel"], k)
 
 
