@@ -23,10 +23,11 @@ def strip_controls(c: Column) -> Column:
 
 def unescape(c: Column, rounds: int = 2) -> Column:
     """Resolve the common entities, ``rounds`` times over (texts escaped twice)."""
+    t = c
     for _ in range(rounds):
         for entity, char in ENTITIES:
-            c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+            t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.when(c.contains("&"), t).otherwise(c)
 
 
 @F.pandas_udf(StringType())
@@ -55,17 +56,20 @@ def plain(c: Column) -> Column:
 
 def meta(c: Column) -> Column:
     """The insides of all ``{{...}}``."""
-    return F.regexp_extract_all(c, F.lit(META), F.lit(1))
+    return F.when(~c.contains("{{"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(c, F.lit(META), F.lit(1)))
 
 
 def parts(c: Column) -> Column:
-    """Definition text -> its alternatives: parentheses and quotes cleaned, split at ';', trimmed."""
-    c = F.regexp_replace(c, META_CLUSTER, "")
-    c = F.regexp_replace(c, r"\([^)]*\)", "")
-    c = F.regexp_replace(c, r"(^|[^A-Za-z0-9_])'([^']+)'([^A-Za-z0-9_]|$)", "$1$2$3")
-    c = F.regexp_replace(c, r'(^|[^A-Za-z0-9_])"([^"]+)"([^A-Za-z0-9_]|$)', "$1$2$3")
-    c = F.replace(F.replace(c, F.lit("''"), F.lit("")), F.lit('""'), F.lit(""))
-    return F.filter(F.transform(F.split(c, ";"), strip_controls), lambda x: F.length(x) > 0)
+    """Definition text -> its alternatives: parentheses and quotes cleaned, split at ';', trimmed. A text
+    without any of their signs is not searched for them."""
+    t = F.regexp_replace(c, META_CLUSTER, "")
+    t = F.regexp_replace(t, r"\([^)]*\)", "")
+    t = F.regexp_replace(t, r"(^|[^A-Za-z0-9_])'([^']+)'([^A-Za-z0-9_]|$)", "$1$2$3")
+    t = F.regexp_replace(t, r'(^|[^A-Za-z0-9_])"([^"]+)"([^A-Za-z0-9_]|$)', "$1$2$3")
+    t = F.replace(F.replace(t, F.lit("''"), F.lit("")), F.lit('""'), F.lit(""))
+    signs = c.contains("{{") | c.contains("(") | c.contains("'") | c.contains('"')
+    t = F.when(signs, t).otherwise(c)
+    return F.filter(F.transform(F.split(t, ";"), strip_controls), lambda x: F.length(x) > 0)
 
 
 def words(c: Column) -> Column:

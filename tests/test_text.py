@@ -100,3 +100,28 @@ def test_small_functions(spark):
     df = spark.createDataFrame([('say "a" and "b" and "a"', "good phrase", "x1", "A man")], "q string, a string, b string, c string")
     r = df.select(X.quoted(F.col("q")), X.sane_query(F.col("a")), X.sane_query(F.col("b")), X.sane_query(F.col("c")), X.initcap_first(F.col("a"))).first()
     assert tuple(r) == (["a", "b"], True, False, False, "Good phrase")
+
+
+def test_plain_texts_are_not_searched_for_signs(spark):
+    """Texts without signs are split only; those with signs come out as by the whole chain."""
+    import re
+    import time
+
+    from lexiquarry.functions import text as X
+    from pyspark.sql import functions as F
+
+    odd = ["a; b", "x {{m}} y; z", "(a) b;(c", "say 'it' now", 'say "it" now; ""x', "''a''", "&amp;lt; b", "{one}", "", ";", "a 'b", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "i int, c string").select("i", X.parts(F.col("c")).alias("p"), X.meta(F.col("c")).alias("m"), X.unescape(F.col("c")).alias("u")).collect()
+
+    def parts(c):
+        for shape, to in ((X.META_CLUSTER, ""), (r"\([^)]*\)", ""), (r"(^|[^A-Za-z0-9_])'([^']+)'([^A-Za-z0-9_]|$)", r"\1\2\3"), (r'(^|[^A-Za-z0-9_])"([^"]+)"([^A-Za-z0-9_]|$)', r"\1\2\3"), ("''", ""), ('""', "")):
+            c = re.sub(shape, to, c)
+        return [p for p in (re.sub(r"^[\x00-\x20]+|[\x00-\x20]+$", "", x) for x in c.split(";")) if p]
+
+    for r in got:
+        t = odd[r.i]
+        assert (r.p, r.m, r.u) == ((None, None, None) if t is None else (parts(t), re.findall(X.META, t), "< b" if "amp" in t else t)), t
+    plain = spark.createDataFrame([("plain words of a text " * 400_000,)], "c string")
+    began = time.time()
+    assert plain.select(F.size(X.parts(X.unescape(F.col("c")))), F.size(X.meta(F.col("c")))).first()[:] == (1, 0)
+    assert time.time() - began < 8
