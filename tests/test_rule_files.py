@@ -102,3 +102,14 @@ LEMMAS = {"is": "be", "helps": "help", "causes": "cause", "includes": "include",
 def test_special_relations(text, kind):
     tokens = [Token(w, pos, LEMMAS.get(w, w.lower())) for w, pos in (x.split("/") for x in text.split())]
     assert [f[0] for f in facts(tokens) if f[0] not in ("DefinedTerm", "IsA", "Quality", "Property")] == [kind]
+
+
+def test_rules_are_tried_only_where_they_can_begin(monkeypatch):
+    """Tokens that no match begins with start no matcher."""
+    from lexiquarry.operators.cascade import Rep
+
+    tried = []
+    at = Rep.at
+    monkeypatch.setattr(Rep, "at", lambda self, ctx, i, names, n=0: (tried.append(i), at(self, ctx, i, names, n))[1])
+    ctx, _ = R.apply(surrogate_tokens("some words and 12 13 of them " * 50), R.cascade(["Amount := OpenRegex { <string=/[0-9]+/>+ }"]))
+    assert len(ctx.spans) == 50 == len(tried)
